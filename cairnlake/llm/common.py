@@ -83,3 +83,40 @@ def schema_with(df: DataFrame, new: str, drop: tuple[str, ...] = ()) -> str:
     names = {x.split()[0].strip("`") for x in new.split(", ")}
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names and f.name not in drop]
     return ", ".join([*own, new])
+
+
+def spans_of(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, texts' first spans) of the maximal runs of true bytes; none crosses from a text into the next.
+
+    The third has n + 1 entries: spans of text i are those from entry i up to entry i + 1.
+    """
+    full = off[:-1] < off[1:]
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    heads = off[:-1][full]
+    begins[heads] = mask[heads]
+    ends = mask.copy()
+    ends[:-1] &= ~mask[1:]
+    tails = off[1:][full] - 1
+    ends[tails] = mask[tails]
+    at = np.flatnonzero(begins)
+    return at, np.flatnonzero(ends) + 1, np.searchsorted(at, off)
+
+
+def packed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The spans of ``data`` as a binary array; spans lie in order and don't overlap."""
+    step = np.zeros(len(data) + 1, np.int8)
+    step[begins] += 1
+    np.subtract.at(step, ends, 1)
+    kept = np.ascontiguousarray(data[np.cumsum(step[:-1], dtype=np.int8) > 0])
+    starts = np.concatenate([[0], np.cumsum(ends - begins)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(starts), pa.py_buffer(kept)])
+
+
+#: Byte classes of the contracts: words between white space, and words of letters and digits.
+GAP = np.zeros(256, bool)
+GAP[[32, *range(9, 14)]] = True
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
