@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     if batch.num_rows == 0:
         return
     col = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     piece = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -59,7 +60,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty: (all bytes, offsets of n + 1 int64)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pa.compute.fill_null(col.cast(pa.large_binary()), b"")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
     return data, off - off[0]

@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from cairnlake.llm import decontaminate
+from cairnlake.llm import decontaminate, phrase_dedup
 from cairnlake.llm.decontaminate import op6_decontamination
+from cairnlake.llm.phrase_dedup import op7_phrase_dedup
 from cairnlake.llm.quality_rules import op3_quality_rules
 from cairnlake.llm.sentencepieces import op2_sentencepiece
 from cairnlake.llm.toxicity import op1_toxicity
 from cairnlake.llm.url_filter import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_rules, op5_url_filter, op6_decontamination)}
-ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_rules, op5_url_filter, op6_decontamination, op7_phrase_dedup)}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op7_phrase_dedup": phrase_dedup.ORACLE}
