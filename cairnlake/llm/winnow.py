@@ -249,8 +249,13 @@ def shard_passages(docs: pa.Table, anchors: pa.Table, plan: Plan, text: str) ->
     return units, found.pick(np.flatnonzero(np.isin(found.anchor & LOW48, known)))
 
 
+def keys_of(found: Passages, plan: Plan) -> np.ndarray:
+    """Hashes of the passages' contents, with their anchors' places."""
+    return hashes(found.prefix, found.start, found.start + found.count + plan.window - 1) ^ (found.anchor * np.uint64(3))
+
+
 def distinct(found: Passages, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage hashes, numbers of the first passages of each hash, how often each occurs); in the order of the hashes."""
-    key = hashes(found.prefix, found.start, found.start + found.count + plan.window - 1) ^ (found.anchor * np.uint64(3))
+    """(hashes of all passages, numbers of the first passages of each distinct hash, how often each occurs); in the order of the hashes."""
+    key = keys_of(found, plan)
     _, at, times = np.unique(key, return_index=True, return_counts=True)
     return key, at, times
