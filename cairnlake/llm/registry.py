@@ -2,6 +2,7 @@
 
 from cairnlake.llm import decontaminate, phrase_dedup
 from cairnlake.llm.decontaminate import op6_decontamination
+from cairnlake.llm.jaccard_join import op10_jaccard_join
 from cairnlake.llm.phrase_dedup import op7_phrase_dedup
 from cairnlake.llm.quality_rules import op3_quality_rules
 from cairnlake.llm.sentencepieces import op2_sentencepiece
@@ -9,5 +10,5 @@ from cairnlake.llm.suffix_dedup import op8_suffix_dedup
 from cairnlake.llm.toxicity import op1_toxicity
 from cairnlake.llm.url_filter import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_rules, op5_url_filter, op6_decontamination, op7_phrase_dedup, op8_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_rules, op5_url_filter, op6_decontamination, op7_phrase_dedup, op8_suffix_dedup, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.ORACLE, "op7_phrase_dedup": phrase_dedup.ORACLE}
