@@ -107,7 +107,7 @@ def learn(sampled: DataFrame) -> DecisionList:
     """A list by sequential covering: grow on two thirds of the rows, prune on the rest."""
     names = [*FEATURES]
     rows = sampled.select(*[F.expr(e).alias(n) for n, e in FEATURES.items()], "bad", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow"))
-    rows = cut(rows.coalesce(4))
+    rows = cut(rows.repartition(8))
     share = [k / QUANTILES for k in range(1, QUANTILES)]
     found = rows.groupBy("bad").agg(*[F.percentile_approx(n, F.array(*map(F.lit, share)), 1000).alias(n) for n in names]).collect()
     cuts = {n: sorted({float(x) for r in found for x in (r[n] or [])}) for n in names}
