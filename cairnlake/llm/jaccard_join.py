@@ -1,7 +1,7 @@
 """N-gram Jaccard join over count-vector R-trees.
 
 A text's set are its distinct word shingles, as 64-bit hashes. Equal sets become one node. Linked sets of sizes a <= b
-differ in at most a // 9 shingles (at 90 of 100), so when a size band cuts its shingles into more hashed groups than
+differ in few shingles (at 90 of 100: a // 9), so when a size band cuts its shingles into more hashed groups than
 that, linked sets have a whole group in common: groups of equal content are the blocks in which partners meet.
 
 In a block, each node is first verified against the node that it shares most blocks with. Blocks that still hold nodes of
@@ -13,6 +13,7 @@ are verified on their sets. Nothing is expanded into all pairs, and no link betw
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,41 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import GAP, LOWER, cut, ragged, read, slices, spans_of, text_bytes
 from cairnlake.llm.winnow import BUCKET_BYTES, LEAST, TABLE, groups, hashes, mix, planes, rolling, sums, unplaned
 
-SHINGLE, NUMERATOR, DENOMINATOR = 3, 90, 100
+SHINGLE, PERCENT = 3, 90
 COORDINATES, FANOUT = 16, 16
 #: Sizes of one band lie within this ratio.
 BAND = 1.25
-#: Groups besides those that linked sets may differ in, as a share of these.
-SLACK = 0.35
-#: Blocks are of groups of so many shingles at least, unless a set has too few of them.
-SMALL_GROUP = 3
 SLICE_BYTES = 4 << 20
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Sets are linked when 100 * intersection >= percent * union."""
+
+    size: int = SHINGLE
+    percent: int = PERCENT
+
+    def __post_init__(self):
+        if not 50 < self.percent <= 100 or self.size < 1:
+            raise ValueError("a similarity above 50 and at most 100 percent, of shingles of a word or more")
+
+    @property
+    def slack(self) -> float:
+        """Groups besides those that linked sets may differ in, as a share of these."""
+        return 0.35 if self.percent >= 89 else 0.5
+
+    @property
+    def small(self) -> int:
+        """Blocks are of groups of so many shingles at least, unless a set has too few of them."""
+        return 3 if self.percent >= 89 else 2
+
+    def groups(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(groups of a size band, groups that linked sets may differ in)."""
+        top = np.ceil(np.exp((band + 1) * np.log(BAND)) - 0.5).astype(np.int64)  # sizes of the band are below
+        differ = np.maximum(top, 1) * (100 - self.percent) // self.percent
+        return np.where(differ == 0, 0, differ + 1 + np.ceil(self.slack * differ).astype(np.int64)), differ
+
+
 def shingle_sets(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of all texts, each text's sorted; the texts' first ones, n + 1)."""
     data, off = text_bytes(col)
@@ -71,21 +96,14 @@ def band_of(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1) + 0.5) / np.log(BAND)).astype(np.int64)
 
 
-def band_groups(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(groups of a band, groups that linked sets may differ in)."""
-    top = np.ceil(np.exp((band + 1) * np.log(BAND)) - 0.5).astype(np.int64)  # sizes of the band are below
-    differ = np.maximum(top, 1) * (DENOMINATOR - NUMERATOR) // NUMERATOR
-    return np.where(differ == 0, 0, differ + 1 + np.ceil(SLACK * differ).astype(np.int64)), differ
-
-
-def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(block, text) of every text: groups of its own band, and of the band of the smallest partners."""
     n = np.diff(off)
     own = band_of(n)
-    least = band_of(-(-n * NUMERATOR // DENOMINATOR))
+    least = band_of(-(-n * rule.percent // 100))
     blocks, texts = [], []
     for band, chosen in ((own, n > 0), (least, (n > 0) & (least != own))):
-        number, differ = band_groups(band)
+        number, differ = rule.groups(band)
         number = np.where(chosen, number, 0)
         at = np.flatnonzero(number)
         if not len(at):
@@ -100,7 +118,7 @@ def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         content = totals(mix(values[order] ^ np.uint64(0x94D049BB133111EB)), np.concatenate([[0], np.cumsum(size)]))
         text = np.repeat(np.arange(len(at)), number[at])
         place = np.arange(total) - base[text]
-        small = size < SMALL_GROUP
+        small = size < rule.small
         weak = np.bincount(text, small, minlength=len(at)) >= number[at] - differ[at]
         keep = ~small | weak[text]
         block = mix(content + mix((band[at][text] << 40 | place << 8 | np.minimum(size, 255)).astype(np.uint64)))
@@ -111,28 +129,28 @@ def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(blocks), np.concatenate(texts)
 
 
-def set_rows(key: str, text: str, size: int):
+def set_rows(key: str, text: str, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
-                sets, off = shingle_sets(part.column(text), size)
+                sets, off = shingle_sets(part.column(text), rule.size)
                 held = points(sets, off)
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(held.astype("<i4")))])
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * COORDINATES), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(np.minimum(held, 65535).astype("<u2")))])
                 yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(nodes_of(sets, off).view(np.int64)), rows.cast(pa.binary())], ["id", "n", "node", "point"])
 
     return run
 
 
-def block_rows(text: str, size: int, buckets: int):
+def block_rows(text: str, rule: Rule, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
-                sets, off = shingle_sets(part.column(text), size)
+                sets, off = shingle_sets(part.column(text), rule.size)
                 node = nodes_of(sets, off)
                 _, once = np.unique(node, return_index=True)  # one of each set
                 lone = np.zeros(len(node), bool)
                 lone[once] = True
-                block, at = signatures(sets, off)
+                block, at = signatures(sets, off, rule)
                 keep = lone[at]
                 block, at = block[keep], node[at[keep]]
                 bucket = ((block >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
@@ -173,7 +191,7 @@ class RTree:
             top, low = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts)
             self.levels.append((top, low))
 
-    def partners(self, point: np.ndarray, size: int) -> np.ndarray:
+    def partners(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """The points whose overlap with a point may be large enough."""
         at = np.zeros(1, np.int64)
         for k, (top, low) in enumerate(reversed(self.levels)):
@@ -181,50 +199,57 @@ class RTree:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
                 at = at[at < len(top)]
             bound = np.minimum(top[at], point).sum(1)
-            at = at[bound * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (size + low[at])]
+            at = at[bound * (100 + percent) >= percent * (size + low[at])]
         return self.order[at]
 
 
-def across(table: pa.Table) -> pa.Table:
-    """Of one block: the pairs of nodes of different components whose counts allow a link."""
-    node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "n"))
-    held = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, COORDINATES)
-    tree = RTree(held, size)
-    names, counts = np.unique(comp, return_counts=True)
-    out = []
-    for i in np.flatnonzero(comp != names[np.argmax(counts)]):  # the others meet all
-        j = tree.partners(held[i], int(size[i]))
-        j = j[comp[j] != comp[i]]
-        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def across(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one block: the pairs of nodes of different components whose counts allow a link."""
+        node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "n"))
+        held = np.frombuffer(b"".join(table["point"].to_pylist()), "<u2").reshape(-1, COORDINATES).astype(np.int32)
+        held[held == 65535] = 1 << 24  # a count that large may be larger
+        tree = RTree(held, size)
+        names, counts = np.unique(comp, return_counts=True)
+        out = []
+        for i in np.flatnonzero(comp != names[np.argmax(counts)]):  # the others meet all
+            j = tree.partners(held[i], int(size[i]), rule.percent)
+            j = j[comp[j] != comp[i]]
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
 
 
-def sets_of(text: str, size: int):
+def sets_of(text: str, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
-                sets, off = shingle_sets(part.column(text), size)
+                sets, off = shingle_sets(part.column(text), rule.size)
                 blob = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(sets.astype("<u8"))])
                 yield pa.RecordBatch.from_arrays([part.column("node"), blob], ["node", "set"])
 
     return run
 
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+def verified(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+    return run
 
 
-def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     with_x = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return with_x.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint")
+    return with_x.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified(rule), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(key, n_shingles, component_id) of each row of ``docs``.
 
     A null text or one without words has no shingles, is linked with nothing and is its own component. Rows that repeat an
@@ -250,10 +275,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """
     slim = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
     total = slim.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
-    rows = cut(slim.mapInArrow(set_rows(key, text, size), "id bigint, n bigint, node bigint, point binary"))
+    rows = cut(slim.mapInArrow(set_rows(key, text, rule), "id bigint, n bigint, node bigint, point binary"))
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"))
     buckets = max(LEAST, -(-total // BUCKET_BYTES))
-    blocks = slim.mapInArrow(block_rows(text, size, buckets), "bucket int, block binary, node binary")
+    blocks = slim.mapInArrow(block_rows(text, rule, buckets), "bucket int, block binary, node binary")
     met = cut(blocks.groupBy("bucket").applyInArrow(members, "block bigint, bucket int, node bigint, leader bigint"))
 
     shared = met.where("node <> leader").groupBy("node", "leader").count()
@@ -261,16 +286,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     first = shared.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("b")).withColumnRenamed("node", "a")
     needed = met.select("node").distinct().join(nodes, "node").select("node", "rep")
     named = slim.join(needed.select("node", F.col("rep").alias(key)), key).select("node", text)
-    held = cut(named.mapInArrow(sets_of(text, size), "node bigint, set binary").dropDuplicates(["node"]))
-    fit = lambda x, y: (DENOMINATOR * F.least(x, y) >= NUMERATOR * F.greatest(x, y))
+    held = cut(named.mapInArrow(sets_of(text, rule), "node bigint, set binary").dropDuplicates(["node"]))
+    fit = lambda x, y: (100 * F.least(x, y) >= rule.percent * F.greatest(x, y))
     sized = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    links = cut(verify(sized.where(fit(F.col("na"), F.col("nb"))).select("a", "b"), held))
+    links = cut(verify(sized.where(fit(F.col("na"), F.col("nb"))).select("a", "b"), held, rule))
 
     part = met.join(components(links), "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = part.groupBy("block", "bucket").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("block", "bucket")
     rest = part.join(mixed, ["block", "bucket"]).join(nodes.select("node", "n", "point"), "node")
-    pairs = rest.groupBy("block", "bucket").applyInArrow(across, "a bigint, b bigint").distinct()
-    links = cut(links.unionAll(verify(pairs, held)))
+    pairs = rest.groupBy("block", "bucket").applyInArrow(across(rule), "a bigint, b bigint").distinct()
+    links = cut(links.unionAll(verify(pairs, held, rule)))
 
     names = nodes.select("node", "rep")
     edges = links.join(names.select(F.col("node").alias("a"), F.col("rep").alias("_a")), "a").join(names.select(F.col("node").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))

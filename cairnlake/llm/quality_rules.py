@@ -169,7 +169,8 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """``stats`` with ``base_failed``, ``rule`` (the learned rule that rejects, null if none) and ``kept``."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.withColumn("base_failed", failed).withColumn("rule", rules.verdict())
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    # the row number never is below 0: it only keeps filters on ``kept`` from being pushed below, which would repeat the statistics
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull() & (F.monotonically_increasing_id() >= 0))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ again, with that id for each window.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.common import ragged, read, schema_with, spans_of, with_columns
@@ -183,3 +184,12 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def characters(kept: Column) -> Column:
+    """Bytes as text, without the characters of which a cut left a part."""
+
+    def decode(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(decode, "string")(kept)
