@@ -65,8 +65,8 @@ class Queues:
 class Carrier:
     """Turns a run of sources into tuples of their predecessors, and carries the least common prefix since the last tuple of each symbol."""
 
-    def __init__(self, queues: Queues, symbols: int):
-        self.queues = queues
+    def __init__(self, queues: Queues, symbols: int, carry: bool):
+        self.queues, self.carry = queues, carry
         self.least = np.full(symbols, -1, np.int16)  # -1: none pushed yet
 
     def send(self, at: np.ndarray, symbol: np.ndarray, take: np.ndarray, common: np.ndarray) -> None:
@@ -74,10 +74,14 @@ class Carrier:
         if not len(common):
             return
         chosen = np.flatnonzero(take)
-        order = chosen[np.argsort(symbol[chosen], kind="stable")]
+        order = chosen[np.argsort(symbol[chosen].astype(np.uint16), kind="stable")]
         kinds = symbol[order]
         cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)] if len(kinds) else []
         value = np.zeros(len(order), np.int16)
+        if not self.carry:
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.queues.push(int(kinds[a]), at[order[a:b]] - 1, value[a:b])
+            return
         if len(order) > 1:  # least of common in (previous, this] for two of one symbol
             pairs = np.empty(2 * len(order) - 2, np.int64)
             pairs[0::2], pairs[1::2] = np.minimum(order[:-1] + 1, len(common) - 1), np.minimum(order[1:] + 1, len(common) - 1)
@@ -118,13 +122,16 @@ def common_of(t: np.ndarray, a: int, b: int) -> int:
     return int(diff[0]) if len(diff) else n
 
 
-def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefixes with the suffix before) from left-most S-suffixes in order; the last is among them."""
+def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray, memory: int = MEMORY, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefixes with the suffix before) from left-most S-suffixes in order; the last is among them.
+
+    Without ``carry`` the common prefixes are left out.
+    """
     symbols = int(t.max()) + 1
     first = t[seeds]
     bounds = np.searchsorted(first, np.arange(symbols + 1))
     queues = Queues(symbols, memory)
-    carrier = Carrier(queues, symbols)
+    carrier = Carrier(queues, symbols, carry)
     low: list[tuple[np.ndarray, np.ndarray]] = []
 
     def sources(at: np.ndarray, common: np.ndarray, c: int, up: bool) -> None:
@@ -150,7 +157,7 @@ def induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, seed_common: np
     queues.close()
 
     queues = Queues(symbols, memory)
-    carrier = Carrier(queues, symbols)
+    carrier = Carrier(queues, symbols, carry)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     queues.push(0, np.array([len(t) - 1], np.int64), np.zeros(1, np.int16))
     for c in reversed(range(symbols)):
@@ -186,7 +193,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         if width < len(rank):
             after[:-width] = rank[width:] + 1
         key = rank * (len(rank) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(len(rank), np.int64)
         rank[order] = fresh
@@ -206,7 +213,7 @@ def suffix_sort(t: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.nda
     s_type = types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     rough = lms[np.argsort(t[lms], kind="stable")]
-    at, _ = induce(t, s_type, rough, np.zeros(len(rough), np.int16), memory)
+    at, _ = induce(t, s_type, rough, np.zeros(len(rough), np.int16), memory, False)
     number = np.full(n, -1, np.int64)
     number[lms] = np.arange(len(lms))
     order = number[at]

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import ragged, read, schema_with, spans_of, with_columns
 from cairnlake.llm.induced import CAP, by_window
 from cairnlake.llm.phrase_dedup import in_order
-from cairnlake.llm.winnow import Passages, Plan, Units, bucket_of, candidates, dealt, distinct, groups, ids_of, keys_of, plan_for, shard_passages
+from cairnlake.llm.winnow import TABLE, Passages, Plan, Units, bucket_of, candidates, dealt, distinct, groups, hashes, ids_of, keys_of, plan_for, shard_passages, sums
 
 WINDOW, GRAM = 50, 16
 #: Ends a passage in a bucket's text; no byte of UTF-8. Bytes are shifted up by one, so that 0 can end the text.
 BREAK = 0xFF
-FIELDS = (("key", "<u8"), ("least", "<i8"), ("most", "<i8"), ("count", "u1"))
+#: Bytes of text whose anchors make a bucket, on average: a bucket is sorted in the memory of one task, or on its disk.
+BUCKET = 2 << 20
 
 
 def passage_rows(plan: Plan, key: str, text: str):
@@ -33,25 +34,31 @@ def passage_rows(plan: Plan, key: str, text: str):
             units, found = shard_passages(docs, anchors, plan, text)
             keys, at, times = distinct(found, plan)
             ids = ids_of(docs, key)
-            most = most_of(keys, ids[found.text])
+            low, high = ids[found.text[at]], most_of(keys, ids[found.text])
             order = np.argsort(bucket_of(found.anchor[at], plan.buckets), kind="stable")
-            at, most = at[order], most[order]
-            own = np.unique(keys)[order]
+            at, low, high = at[order], low[order], high[order]
             some = found.pick(at)
             lens = some.count + plan.window - 1
             body = units.data[ragged(some.start, lens)]
             upto = np.concatenate([[0], np.cumsum(lens)])
-            fields = {"key": own, "least": ids[some.text], "most": most, "count": some.count}
             shard = docs["_shard"][0].as_py()
             for k, a, b in groups(bucket_of(some.anchor, plan.buckets)):
-                rows.append([k, shard, *(fields[n][a:b].astype(t).tobytes() for n, t in FIELDS), body[upto[a] : upto[b]].tobytes()])
-        names = ["bucket", "_shard", *(n for n, _ in FIELDS), "body"]
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * (len(FIELDS) + 1)]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
+                rows.append([k, shard, spread_bytes(low[a:b]), np.packbits(high[a:b] > low[a:b]).tobytes(), some.count[a:b].astype("u1").tobytes(), body[upto[a] : upto[b]].tobytes()])
+        names = ("bucket", "_shard", "least", "many", "count", "body")
+        return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if i > 1 else pa.int32()) for i, n in enumerate(names)})
 
     return run
 
 
+def spread_bytes(values: np.ndarray) -> bytes:
+    """Numbers plane by plane: bytes of one weight together, as they compress."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def gathered(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
 def most_of(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The greatest id of each distinct key, in the order of the keys."""
     order = np.lexsort((ids, keys))
@@ -60,23 +67,26 @@ def most_of(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids[order[last]]
 
 
-PASSAGE_SCHEMA = "bucket int, _shard int, " + ", ".join(f"{n} binary" for n, _ in FIELDS) + ", body binary"
+PASSAGE_SCHEMA = "bucket int, _shard int, least binary, many binary, count binary, body binary"
 
 
 def sorted_bucket(window: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one bucket: each passage of a shard with the least ids of its windows, where one is less than the shard's own."""
-        e = {n: np.frombuffer(b"".join(table[n].to_pylist()), t) for n, t in FIELDS}
-        sizes = [len(x) // 8 for x in table["key"].to_pylist()]
-        shard = np.repeat(table["_shard"].to_numpy(), sizes)
+        """Of one bucket: each passage of a shard with the least ids of its windows, where one is less than an own id of the shard."""
+        counts = [np.frombuffer(x, "u1") for x in table["count"].to_pylist()]
+        shard = np.repeat(table["_shard"].to_numpy(), [len(x) for x in counts])
+        count = np.concatenate(counts).astype(np.int64)
+        own = np.concatenate([gathered(x) for x in table["least"].to_pylist()])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(c)] for x, c in zip(table["many"].to_pylist(), counts, strict=True)]) > 0
         body = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
-        count = e["count"].astype(np.int64)
+        del table
         lens = count + window - 1
         begins = np.cumsum(lens) - lens
+        key = hashes(sums(TABLE[body]), begins, begins + lens)
         # one copy of each passage, with the least id of all
-        order = np.lexsort((e["least"], e["key"]))
+        order = np.lexsort((own, key))
         new = np.ones(len(order), bool)
-        new[1:] = e["key"][order][1:] != e["key"][order][:-1]
+        new[1:] = key[order][1:] != key[order][:-1]
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         one = order[new]
@@ -87,10 +97,11 @@ def sorted_bucket(window: int):
         inside[stops] = inside[-1] = False
         text[inside] = body[ragged(begins[one], lens[one])] + 1
         text[-1] = 0
+        del body
         place = np.full(len(text), -1, np.int64)  # of windows: their number
         upto = np.concatenate([[0], np.cumsum(count[one])])
         place[ragged(stops + 1 - spread, count[one])] = np.arange(upto[-1])
-        owner = np.repeat(e["least"][one], count[one])
+        owner = np.repeat(own[one], count[one])
         first = np.full(upto[-1], np.iinfo(np.int64).max, np.int64)
         for at, group in by_window(text, window):
             number = place[at]
@@ -99,8 +110,7 @@ def sorted_bucket(window: int):
             head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             first[number] = np.repeat(np.minimum.reduceat(owner[number], head), np.diff(np.append(head, len(number))))
         rows = []
-        least = np.minimum.reduceat(first, upto[:-1])
-        keep = np.flatnonzero(least[kind] < e["most"])
+        keep = np.flatnonzero(many | (np.minimum.reduceat(first, upto[:-1])[kind] < own))
         keep = keep[np.argsort(shard[keep], kind="stable")]
         for k, a, b in groups(shard[keep]):
             some = keep[a:b]
@@ -110,7 +120,7 @@ def sorted_bucket(window: int):
             start[1:] |= each[1:] != each[:-1]
             run_at = np.flatnonzero(start)
             runs = np.diff(np.searchsorted(run_at, np.concatenate([[0], np.cumsum(count[some])])))
-            rows.append((k, e["key"][some].tobytes(), runs.astype("u1").tobytes(), np.diff(np.append(run_at, len(each))).astype("u1").tobytes(), each[run_at].astype("<i8").tobytes()))
+            rows.append((k, key[some].tobytes(), runs.astype("u1").tobytes(), np.diff(np.append(run_at, len(each))).astype("u1").tobytes(), spread_bytes(each[run_at])))
         names = ("_shard", "key", "runs", "size", "first")
         return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i, n in enumerate(names)})
 
@@ -126,7 +136,8 @@ def cut_out(plan: Plan, key: str, text: str):
         units = Units.of(docs[text], False)
         gone = np.zeros(len(units.data) + 1, np.int64)
         if known.num_rows:
-            keys, runs, size, first = (np.frombuffer(b"".join(known[n].to_pylist()), t) for n, t in (("key", "<u8"), ("runs", "u1"), ("size", "u1"), ("first", "<i8")))
+            keys, runs, size = (np.frombuffer(b"".join(known[n].to_pylist()), t) for n, t in (("key", "<u8"), ("runs", "u1"), ("size", "u1")))
+            first = np.concatenate([gathered(x) for x in known["first"].to_pylist()])
             order = np.argsort(keys, kind="stable")
             run_at = np.cumsum(runs.astype(np.int64)) - runs
             found = Passages.of(units, plan.window, plan.gram)
@@ -172,7 +183,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     """
     if window > CAP:
         raise ValueError(f"common prefixes are told up to {CAP} bytes")
-    plan = plan_for(docs, text, window, min(GRAM, window), False, True)
+    plan = plan_for(docs, text, window, min(GRAM, window), False, True, BUCKET)
     rows = dealt(docs, plan, key, text)
     shards = rows.groupBy("_shard")
     anchors = candidates(rows, plan, text)

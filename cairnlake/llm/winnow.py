@@ -153,6 +153,12 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The order by bucket, then value."""
+    order = np.argsort(values)
+    return order[np.argsort(bucket[order].astype(np.uint16 if len(bucket) and bucket.max() < 65536 else np.int64), kind="stable")]
+
+
 def groups(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, from, to) of each run of a sorted array."""
     if len(keys):
@@ -173,9 +179,9 @@ class Plan:
     across: bool  # only windows of two texts count, not those of one
 
 
-def plan_for(docs: DataFrame, text: str, window: int, gram: int, words: bool, across: bool) -> Plan:
+def plan_for(docs: DataFrame, text: str, window: int, gram: int, words: bool, across: bool, bucket_bytes: int = BUCKET_BYTES) -> Plan:
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
-    return Plan(window, gram, words, max(LEAST, -(-size // SHARD_BYTES)), max(LEAST, -(-size // BUCKET_BYTES)), across)
+    return Plan(window, gram, words, max(LEAST, -(-size // SHARD_BYTES)), max(LEAST, -(-size // bucket_bytes)), across)
 
 
 def dealt(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
@@ -192,10 +198,15 @@ def anchor_rows(plan: Plan, text: str) -> Callable:
                     continue
                 shard = part.column("_shard").to_numpy()[found.text].astype(np.int64)
                 bucket = bucket_of(found.anchor, plan.buckets)
-                order = np.lexsort((found.text, shard, found.anchor & LOW48, bucket))
+                order = by_bucket(found.anchor & LOW48, bucket)
                 low, shard, bucket, text_no = (found.anchor & LOW48)[order], shard[order], bucket[order], found.text[order]
-                same = np.zeros(len(order), bool)
-                same[1:] = (low[1:] == low[:-1]) & (shard[1:] == shard[:-1]) & (bucket[1:] == bucket[:-1])
+                equal = np.zeros(len(order) + 1, bool)
+                equal[1:-1] = (low[1:] == low[:-1]) & (bucket[1:] == bucket[:-1])
+                twins = np.flatnonzero(equal[:-1] | equal[1:])  # few: put in the order of shard and text
+                fine = twins[np.lexsort((text_no[twins], shard[twins], low[twins], bucket[twins]))]
+                shard[twins], text_no[twins] = shard[fine], text_no[fine]
+                same = equal[:-1].copy()
+                same[1:] &= shard[1:] == shard[:-1]
                 again = same.copy()
                 if plan.across:
                     again[1:] &= text_no[1:] != text_no[:-1]
@@ -216,7 +227,7 @@ def recurring(table: pa.Table) -> pa.Table:
         shard.append(np.frombuffer(r["shard"], "<u4"))
         many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8))[: len(low[-1])] > 0)
     low, shard, many = map(np.concatenate, (low, shard, many))
-    order = np.argsort(low, kind="stable")
+    order = np.argsort(low)
     low, shard, many = low[order], shard[order], many[order]
     same = low[1:] == low[:-1]
     many[1:] |= same
@@ -250,8 +261,8 @@ def shard_passages(docs: pa.Table, anchors: pa.Table, plan: Plan, text: str) ->
 
 
 def keys_of(found: Passages, plan: Plan) -> np.ndarray:
-    """Hashes of the passages' contents, with their anchors' places."""
-    return hashes(found.prefix, found.start, found.start + found.count + plan.window - 1) ^ (found.anchor * np.uint64(3))
+    """Hashes of the passages' contents."""
+    return hashes(found.prefix, found.start, found.start + found.count + plan.window - 1)
 
 
 def distinct(found: Passages, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
