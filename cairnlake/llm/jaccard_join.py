@@ -24,7 +24,7 @@ from cairnlake.llm.common import GAP, LOWER, cut, ragged, read, slices, spans_of
 from cairnlake.llm.winnow import BUCKET_BYTES, LEAST, TABLE, groups, hashes, mix, planes, rolling, sums, unplaned
 
 SHINGLE, PERCENT = 3, 90
-COORDINATES, FANOUT = 16, 16
+COORDINATES, FANOUT = 128, 16
 #: Sizes of one band lie within this ratio.
 BAND = 1.25
 SLICE_BYTES = 4 << 20
@@ -44,7 +44,7 @@ class Rule:
     @property
     def slack(self) -> float:
         """Groups besides those that linked sets may differ in, as a share of these."""
-        return 0.35 if self.percent >= 89 else 0.5
+        return 0.15 if self.percent >= 89 else 0.5
 
     @property
     def small(self) -> int:
