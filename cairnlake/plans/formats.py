@@ -1 +1,90 @@
+"""Queries of the binary formats and codecs; SQL has no codecs, so most are held by round trips in the tests."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairnlake.operators import recovery
+from cairnlake.plans.fixtures import Lake
+from cairnlake.plans.registry import query
+from cairnlake.session import shared_dir
+from cairnlake.sources import formats, volumes
+
+
+def payloads(lake: Lake) -> DataFrame:
+    """The blobs that have a place, with their packed contents."""
+    texts = lake.documents.groupBy(F.sha2("text", 256).alias("hash")).agg(F.first("text").alias("text"))
+    placed = lake.blob_all.where("volume_id is not null").join(texts, "hash")
+    algorithm = F.col("compression_alg")
+    return placed.select("volume_id", "blob_id", algorithm.alias("algorithm"), formats.pack(F.col("text").cast("binary"), algorithm).alias("payload"))
+
+
+def written(lake: Lake) -> str:
+    """A folder with the volumes, indexes and log of the catalog."""
+    folder = f"{shared_dir(lake.spark)}/volumes-{uuid.uuid4().hex}"
+    volumes.write_volumes(payloads(lake), folder).collect()
+    volumes.write_log(lake.replay_log.where("blob_id > 0"), folder)
+    return folder
+
+
+@query()
+def blake2b_content(lake: Lake) -> DataFrame:
+    return lake.documents.select("doc_id", formats.blake2b(F.col("text").cast("binary")).alias("hash"))
+
+
+@query("SELECT doc_id, true AS same FROM documents", fixtures=False)
+def codec_roundtrip(lake: Lake) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    algorithm = F.element_at(F.array(*map(F.lit, ("none", "gzip", "zstd"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = lake.documents.select("doc_id", raw.alias("raw"), algorithm.alias("a")).withColumn("p", formats.pack(F.col("raw"), F.col("a")))
+    return rows.select("doc_id", (formats.unpack(F.col("p"), F.col("a")) == F.col("raw")).alias("same"))
+
+
+@query("SELECT volume_id, blob_id, true AS crc_ok FROM blob_all WHERE volume_id IS NOT NULL")
+def volume_scan(lake: Lake) -> DataFrame:
+    return volumes.read_records(lake.spark, "volume", written(lake)).select("volume_id", "blob_id", "crc_ok")
+
+
+@query("SELECT volume_id, blob_id, compression_alg AS algorithm FROM blob_all WHERE volume_id IS NOT NULL")
+def index_scan(lake: Lake) -> DataFrame:
+    return volumes.read_records(lake.spark, "index", written(lake)).select("volume_id", "blob_id", "algorithm")
+
+
+@query("SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, file_id, blob_id, legacy_id, tags, name FROM replay_log WHERE blob_id > 0")
+def log_scan(lake: Lake) -> DataFrame:
+    return volumes.read_records(lake.spark, "log", written(lake)).select("seq", "file_id", "blob_id", "legacy_id", "tags", "name")
+
+
+@query(""", w AS (SELECT count(*) FILTER (WHERE state = 'committed') AS checked, count(*) FILTER (WHERE state = 'pending') AS pending FROM blobs)
+SELECT checked, 0::BIGINT AS unreadable, pending, (SELECT count(*) FROM blobs ANTI JOIN files USING (blob_id)) AS orphan_blobs, (SELECT count(*) FROM files ANTI JOIN blobs USING (blob_id)) AS missing_blobs,
+CASE WHEN (SELECT count(*) FROM files ANTI JOIN blobs USING (blob_id)) > 0 THEN 'error' ELSE 'warning' END AS status FROM w""")
+def deep_integrity(lake: Lake) -> DataFrame:
+    """The catalog with the offsets that its volumes were written with, against the records on disk."""
+    folder = written(lake)
+    index = volumes.read_records(lake.spark, "index", folder).select("blob_id", F.col("offset").alias("blob_offset"))
+    blobs = lake.blobs.drop("blob_offset").join(index, "blob_id", "left")
+    return recovery.deep_integrity(blobs, lake.files, volumes.read_records(lake.spark, "volume", folder))
+
+
+@query("SELECT blob_id, volume_id, hash, size_raw, compression_alg FROM blob_all WHERE volume_id IS NOT NULL")
+def rebuild_blobs(lake: Lake) -> DataFrame:
+    folder = written(lake)
+    blobs = recovery.rebuilt(volumes.read_records(lake.spark, "volume", folder), volumes.read_records(lake.spark, "log", folder))[0]
+    return blobs.select("blob_id", "volume_id", "hash", "size_raw", "compression_alg")
+
+
+@query("""SELECT file_id, blob_id, name, tags FROM (SELECT * FROM replay_log WHERE blob_id > 0 QUALIFY row_number() OVER (PARTITION BY blob_id, name ORDER BY seq DESC) = 1)
+WHERE blob_id IN (SELECT blob_id FROM blob_all WHERE volume_id IS NOT NULL)""")
+def rebuild_files(lake: Lake) -> DataFrame:
+    folder = written(lake)
+    return recovery.rebuilt(volumes.read_records(lake.spark, "volume", folder), volumes.read_records(lake.spark, "log", folder))[1].select("file_id", "blob_id", "name", "tags")
+
+
+@query("SELECT file_id, b.hash FROM replay_log r JOIN blob_all b ON r.blob_id = b.blob_id WHERE b.volume_id IS NOT NULL")
+def recover_files(lake: Lake) -> DataFrame:
+    folder = written(lake)
+    found = recovery.recovered(volumes.read_records(lake.spark, "volume", folder), volumes.read_records(lake.spark, "log", folder))
+    return found.select("file_id", F.sha2("content", 256).alias("hash"))

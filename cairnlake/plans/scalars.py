@@ -110,7 +110,7 @@ def format_bytes(lake: Lake) -> DataFrame:
     return lake.blobs.select((F.col("size_raw") * (1 + F.col("blob_id") % 7 * 100_000)).alias("n")).select("n", text.format_bytes(n).alias("long_form"), text.format_bytes_short(n).alias("short_form"))
 
 
-DECODE_SQL = """CASE WHEN {0} = '' THEN NULL WHEN regexp_matches(trim({0}), '^\\[\\s*(?:"(?:[^"\\\\]|\\\\.)*"\\s*(?:,\\s*"(?:[^"\\\\]|\\\\.)*"\\s*)*)?\\]$') THEN CAST(from_json(CASE WHEN json_valid({0}) THEN {0} END, '["VARCHAR"]') AS VARCHAR[])
+DECODE_SQL = """CASE WHEN {0} = '' THEN NULL WHEN regexp_matches(trim({0}), '^\\[\\s*(?:"(?:[^"\\\\]|\\\\.)*"\\s*(?:,\\s*"(?:[^"\\\\]|\\\\.)*"\\s*)*)?\\]$') THEN regexp_extract_all({0}, '"((?:[^"\\\\]|\\\\.)*)"', 1)
 ELSE list_filter(list_transform(string_split({0}, ','), lambda x: trim(x)), lambda x: x <> '') END"""
 
 
