@@ -120,7 +120,7 @@ def tags_decode(lake: Lake) -> DataFrame:
     return rows.select("s", F.array_join(text.decode_tags(F.col("s")), "|").alias("tags"))
 
 
-@query(f"""SELECT file_id, CASE WHEN tags = '' THEN more WHEN more = '' THEN tags ELSE to_json(list_sort(list_distinct(list_concat({DECODE_SQL.format('tags')}, {DECODE_SQL.format('more')})))) END AS merged
+@query(f"""SELECT file_id, CASE WHEN tags = '' THEN more WHEN more = '' THEN tags ELSE CAST(to_json(list_sort(list_distinct(list_concat({DECODE_SQL.format('tags')}, {DECODE_SQL.format('more')})))) AS VARCHAR) END AS merged
 FROM (SELECT file_id, tags, CASE WHEN legacy_id % 3 = 0 THEN '' ELSE '["new","en"]' END AS more FROM files)""")
 def tags_merge(lake: Lake) -> DataFrame:
     rows = lake.files.select("file_id", "tags", F.when(F.col("legacy_id") % 3 == 0, "").otherwise('["new","en"]').alias("more"))
