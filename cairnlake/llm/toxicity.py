@@ -19,18 +19,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import read, schema_with, slices, text_bytes, with_columns
+from cairnlake.llm.common import read, schema_with, slices, text_bytes, tidy, with_columns
 
 #: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 2500
 DECAY, SPAN = 0.6, 7
 #: Longer words are scored as overlapping windows of so many characters, half a window apart.
 WIDTH = 24
-INSULTS, NEUTRAL, ALIKE, MIN_SENTENCES = 64, 32, 0.7, 5
-HARD_NEGATIVES, ROUNDS, EPOCHS, COST, POSITIVE = 3000, 4, 40, 1.0, 4.0
+INSULTS, NEUTRAL, ALIKE = 64, 32, 0.7
+#: What makes a word or a stem telling: sentences that have it, and log odds between the classes.
+MIN_SENTENCES, MIN_STEM, TELLING = 5, 8, float(np.log(20))
+HARD_NEGATIVES, ROUNDS, EPOCHS, COST, POSITIVE, CLEAN_WEIGHT = 4000, 4, 30, 1.0, 3.0, 1.0
 #: Distinct words that a task remembers before it begins anew.
-TABLE_WORDS = 1_000_000
-LETTERS = 27
+TABLE_WORDS = 300_000
+#: Codes of characters: 0 none, a to z, the marker of a word's ends, and the low bits of the bytes of other letters.
+LETTERS, MARK = 64, 27
+#: Subsequences are told apart by so many hashed keys.
+KEYS = 1 << 16
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 #: Letters that digits and signs are read as.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -39,6 +44,7 @@ for _c in range(26):
     CODES[ord("a") + _c] = CODES[ord("A") + _c] = _c + 1
 for _k, _v in LEET.items():
     CODES[ord(_k)] = CODES[ord(_v)]
+CODES[0x80:0xC0] = 28 + np.arange(64) % 32
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
 LONE = r"(?:^|\s)\S(?:\s\S){2,}(?:\s|$)"
@@ -46,17 +52,19 @@ LONE = r"(?:^|\s)\S(?:\s\S){2,}(?:\s|$)"
 
 def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(keys, weights) of all three-letter subsequences of each word, a row each; keys of no weight are 0."""
-    width = max(3, max(map(len, words), default=3))
+    width = max(3, max(map(len, words), default=1) + 2)
     codes = np.zeros((len(words), width + SPAN), np.int64)
     flat = np.frombuffer(b"".join(words), np.uint8)
     lens = np.fromiter(map(len, words), np.int64, len(words))
-    codes[:, :width][np.arange(width) < lens[:, None]] = CODES[flat]
+    place = np.arange(width)
+    codes[:, :width][(place > 0) & (place <= lens[:, None])] = CODES[flat]
+    codes[:, 0] = codes[np.arange(len(words)), lens + 1] = MARK
     keys, weights = [], []
     first = codes[:, :width]
     for a, b in GAPS:
         mid, last = codes[:, a : a + width], codes[:, a + b : a + b + width]
         ok = (first > 0) & (mid > 0) & (last > 0)
-        keys.append(np.where(ok, (first * LETTERS + mid) * LETTERS + last, 0))
+        keys.append(np.where(ok, 1 + ((first * LETTERS + mid) * LETTERS + last) * 40503 % 262147 % (KEYS - 1), 0))
         weights.append(np.where(ok, DECAY ** (a + b - 2), 0.0))
     return np.concatenate(keys, 1), np.concatenate(weights, 1)
 
@@ -74,6 +82,12 @@ def norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt((np.where(last, ends - before, 0.0) ** 2).sum(1))
 
 
+def grams(word: bytes) -> set[bytes]:
+    """The stems of a word: its runs of four and five characters, the beginning marked."""
+    marked = b"^" + word
+    return {marked[i : i + k] for k in (4, 5) for i in range(len(marked) - k + 1)}
+
+
 def windows(word: bytes) -> list[bytes]:
     """A word as itself, or as overlapping windows."""
     return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
@@ -145,21 +159,37 @@ def held_out() -> Column:
 
 
 def train(texts: list[str], toxic: list[int]) -> Machine:
-    """A machine from labelled texts. Without both classes, or without telling words, all scores are low."""
+    """A machine from labelled texts. Without both classes, or without telling words, all scores are low.
+
+    Every fourth text is kept for the logistic curve, which so sees words that the machine hasn't.
+    """
+    apart = [i % 4 == 3 for i in range(len(texts))]
+    later, y_later = [t for t, a in zip(texts, apart, strict=True) if a], np.array([y for y, a in zip(toxic, apart, strict=True) if a], float)
+    texts, toxic = [t for t, a in zip(texts, apart, strict=True) if not a], [y for y, a in zip(toxic, apart, strict=True) if not a]
     distinct = dict.fromkeys((s, y) for t, y in zip(texts, toxic, strict=True) for s in re.split(r"(?<=[.!?])\s|\n", lone_joined(t or "")))  # copies tell nothing new
     seen, n = {0: Counter(), 1: Counter()}, {0: 1, 1: 1}
     for sentence, y in distinct:
         n[y] += 1
         seen[y].update({x for w in re.split(rb"[\x20\x09-\x0d]+", sentence.encode().lower()) for x in windows(w.strip(b".,;:!?"))})
-    odds = {w: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w, c in seen[1].items() if c >= MIN_SENTENCES and len(w) >= 3}
-    telling = {w: v for w, v in odds.items() if v > np.log(20)}
+    odds = lambda a, b: np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+    stems = {y: Counter() for y in seen}
+    for y, words in seen.items():
+        for w, c in words.items():
+            for g in grams(w):
+                stems[y][g] += c
+    known = {g: v for g, c in stems[1].items() if c >= MIN_STEM and (v := odds(c, stems[0][g])) > TELLING}
+    telling = {}
+    for w, c in seen[1].items():  # words of their own, and forms of a stem that clean sentences don't have
+        best = max([odds(c, seen[0][w])] * (c >= MIN_SENTENCES) + [known[g] for g in grams(w) if g in known] * (not seen[0][w]), default=0.0)
+        if best > TELLING and len(w) >= 3:
+            telling[w] = float(best)
     if not telling:
-        return Machine(np.zeros(LETTERS**3), -1.0, 1.0, -3.0)
+        return Machine(np.zeros(KEYS), -1.0, 1.0, -3.0)
     neutral = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if len(w) >= 4 and w not in telling][:NEUTRAL]
 
     def maps(words: list[bytes]) -> np.ndarray:
         keys, weights = subsequences(words)
-        out = np.zeros((len(words), LETTERS**3), np.float32)
+        out = np.zeros((len(words), KEYS), np.float32)
         np.add.at(out, (np.arange(len(words))[:, None], keys), weights)
         out[:, 0] = 0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -177,14 +207,14 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     project = landmarks.T @ (vectors[:, ok] / np.sqrt(values[ok]))  # subsequence weights to Nyström features
 
     def features(words: list[bytes]) -> np.ndarray:
-        return np.concatenate([maps(words[i : i + 400]) @ project for i in range(0, len(words), 400)]) if words else np.zeros((0, project.shape[1]))
+        return np.concatenate([maps(words[i : i + 100]) @ project for i in range(0, len(words), 100)]) if words else np.zeros((0, project.shape[1]))
 
     clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w and w not in telling]
     negatives = dict.fromkeys(clean[:HARD_NEGATIVES])
     hard = Machine(landmarks[: len(insults)].sum(0), 0.0, 1.0, 0.0).words(clean)
     words = sorted(telling)
     x_pos = features(words)
-    alpha, offset = np.zeros(LETTERS**3), 0.0
+    alpha, offset = np.zeros(KEYS), 0.0
     for _ in range(ROUNDS):
         negatives.update(dict.fromkeys(clean[i] for i in np.argsort(-hard, kind="stable")[: HARD_NEGATIVES // 2]))
         x_neg = features([*negatives])
@@ -196,12 +226,15 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         alpha, offset = project @ v, b
         machine = Machine(alpha, offset, 1.0, 0.0)
         hard = machine.words(clean)
-    raw = document_values(machine, pa.array(texts, pa.string()), {})
-    y = np.array(toxic, float)
+    raw, y = document_values(machine, pa.array(later, pa.string()), {}), y_later
+    if not 0 < y.sum() < len(y):
+        return Machine(alpha, offset, 4.0, 0.0)
+    weight = np.where(y > 0, 1.0, CLEAN_WEIGHT * max(1.0, y.sum() / (1 - y).sum()))
+    weight /= weight.sum()
     slope, shift = 1.0, 0.0
-    for _ in range(2000):  # the logistic curve
+    for _ in range(4000):  # the logistic curve
         p = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30)))
-        slope, shift = slope - 0.5 * ((p - y) * raw).mean() - 1e-4 * slope, shift - 0.5 * (p - y).mean()
+        slope, shift = slope - (weight * (p - y) * raw).sum() - 1e-4 * slope, shift - (weight * (p - y)).sum()
     return Machine(alpha, offset, float(slope), float(shift))
 
 
@@ -260,6 +293,9 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, text):
                 yield with_columns(part, {"score": pa.array(machine.curve(document_values(machine, part.column(text), known)))})
+            tidy()
+        known.clear()
+        tidy()
 
     return docs.mapInArrow(run, schema_with(docs, "score double"))
 
