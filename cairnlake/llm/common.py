@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +12,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.session import cut, shared_dir  # noqa: F401
+
 #: Word separators of the contracts: the space and TAB to CR.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        found = "file://" + os.path.join(tempfile.gettempdir(), "cairnlake-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def tidy() -> None:
+    """Gives memory that a task no longer uses back: Python workers live on, and serve the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder; later reads don't need its ancestors. Spark's cleaner removes the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of a batch that goes to Python, where the session sets no number of its own: texts are long.
+BATCH_ROWS = "1000"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder; the session gets smaller batches for Python unless it has set its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

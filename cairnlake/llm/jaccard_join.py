@@ -20,14 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import GAP, LOWER, cut, ragged, read, slices, spans_of, text_bytes
-from cairnlake.llm.winnow import BUCKET_BYTES, LEAST, TABLE, groups, hashes, mix, planes, rolling, sums, unplaned
+from cairnlake.llm.common import GAP, LOWER, cut, ragged, read, slices, spans_of, text_bytes, tidy
+from cairnlake.llm.winnow import BUCKET_BYTES, LAST_ID, LEAST, TABLE, groups, hashes, mix, planes, rolling, sums, unplaned
 
 SHINGLE, PERCENT = 3, 90
 COORDINATES, FANOUT = 128, 16
 #: Sizes of one band lie within this ratio.
 BAND = 1.25
-SLICE_BYTES = 4 << 20
+#: Blocks up to this size are tried pair by pair, without a tree.
+LEAF = 16
+#: Rows of a list that is broadcast: of two numbers each.
+SHORT = 400_000
+#: Blocks of several components are tried in rounds: so many of the likeliest partners of a node, in the end all.
+ROUNDS = (2, 32, 1 << 30)
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -97,12 +103,13 @@ def band_of(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(block, text) of every text: groups of its own band, and of the band of the smallest partners."""
+    """(block, text) of every text: groups of its own band, and of the bands down to that of the smallest partners."""
     n = np.diff(off)
     own = band_of(n)
     least = band_of(-(-n * rule.percent // 100))
     blocks, texts = [], []
-    for band, chosen in ((own, n > 0), (least, (n > 0) & (least != own))):
+    for down in range(int((own - least).max(initial=0)) + 1):
+        band, chosen = own - down, (n > 0) & (own - down >= least)
         number, differ = rule.groups(band)
         number = np.where(chosen, number, 0)
         at = np.flatnonzero(number)
@@ -129,14 +136,15 @@ def signatures(sets: np.ndarray, off: np.ndarray, rule: Rule) -> tuple[np.ndarra
     return np.concatenate(blocks), np.concatenate(texts)
 
 
-def set_rows(key: str, text: str, rule: Rule):
+def set_rows(text: str, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 sets, off = shingle_sets(part.column(text), rule.size)
                 held = points(sets, off)
                 rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * COORDINATES), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(np.minimum(held, 65535).astype("<u2")))])
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(nodes_of(sets, off).view(np.int64)), rows.cast(pa.binary())], ["id", "n", "node", "point"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(np.diff(off), pa.int64()), pa.array(nodes_of(sets, off).view(np.int64)), rows.cast(pa.binary())], ["id", "hash", "n", "node", "point"])
+        tidy()
 
     return run
 
@@ -156,9 +164,13 @@ def block_rows(text: str, rule: Rule, buckets: int):
                 bucket = ((block >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((block & np.uint64((1 << 48) - 1), bucket))
                 block, at, bucket = block[order], at[order], bucket[order]
-                rows = [(k, planes(block[a:b]), at[a:b].astype("<u8").tobytes()) for k, a, b in groups(bucket)]
+                rows = []
+                for k, a, b in groups(bucket):
+                    names, which = np.unique(at[a:b], return_inverse=True)
+                    rows.append((k, planes(block[a:b]), names.astype("<u8").tobytes(), which.astype("<u2" if len(names) < 65536 else "<u4").tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "node", "which"])
+        tidy()
 
     return run
 
@@ -166,7 +178,8 @@ def block_rows(text: str, rule: Rule, buckets: int):
 def members(table: pa.Table) -> pa.Table:
     """Of one bucket: the blocks of two nodes or more, with their nodes and the least of them as leader."""
     block = np.concatenate([unplaned(x) for x in table["block"].to_pylist()])
-    node = np.frombuffer(b"".join(table["node"].to_pylist()), "<u8").view(np.int64)
+    names = [np.frombuffer(x, "<u8") for x in table["node"].to_pylist()]
+    node = np.concatenate([n[np.frombuffer(w, "<u2" if len(n) < 65536 else "<u4")] for n, w in zip(names, table["which"].to_pylist(), strict=True)]).view(np.int64)
     order = np.lexsort((node, block))
     block, node = block[order], node[order]
     new = np.ones(len(block), bool)
@@ -198,37 +211,130 @@ class RTree:
             if k:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).reshape(-1)
                 at = at[at < len(top)]
-            bound = np.minimum(top[at], point).sum(1)
+            bound = np.minimum(top[at], point).sum(1, dtype=np.int64)
             at = at[bound * (100 + percent) >= percent * (size + low[at])]
         return self.order[at]
 
 
-def across(rule: Rule):
-    def run(table: pa.Table) -> pa.Table:
-        """Of one block: the pairs of nodes of different components whose counts allow a link."""
-        node, comp, size = (table[c].to_numpy() for c in ("node", "comp", "n"))
-        held = np.frombuffer(b"".join(table["point"].to_pylist()), "<u2").reshape(-1, COORDINATES).astype(np.int32)
-        held[held == 65535] = 1 << 24  # a count that large may be larger
-        tree = RTree(held, size)
-        names, counts = np.unique(comp, return_counts=True)
-        out = []
-        for i in np.flatnonzero(comp != names[np.argmax(counts)]):  # the others meet all
-            j = tree.partners(held[i], int(size[i]), rule.percent)
-            j = j[comp[j] != comp[i]]
-            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def likeness(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """The most percent of similarity that the counts of pairs of points allow: summed coordinate minima bound the overlap."""
+    both = np.minimum(np.minimum(x, y).sum(1, dtype=np.int64), np.minimum(nx, ny))
+    return 100.0 * both / np.maximum(nx + ny - both, 1)
+
+
+def points_of(col: pa.Array) -> np.ndarray:
+    held = np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, COORDINATES)
+    if len(held) and held.max() == 65535:  # a count that large may be larger
+        held = np.where(held == 65535, 1 << 24, held.astype(np.int32))
+    return held
+
+
+def bounded(rule: Rule):
+    """Keeps the pairs (a, b, na, nb, pa, pb) whose counts allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = likeness(points_of(batch.column("pa")), points_of(batch.column("pb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= rule.percent
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a block ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, bucket = batch.column("block").to_numpy(), batch.column("bucket").to_numpy()
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])) + 1
+        if held and (held[-1].column("block")[-1], held[-1].column("bucket")[-1]) != (batch.column("block")[0], batch.column("bucket")[0]):
+            cuts = np.append(0, cuts)
+        if len(cuts):
+            last = int(cuts[-1])
+            done = [*held, batch.slice(0, last)] if last else held
+            yield pa.Table.from_batches(done)
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def likeliest(pairs: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """The distinct pairs that are among the ``most`` likeliest of either node."""
+    low, high = pairs.min(1), pairs.max(1)
+    order = np.lexsort((high, low))
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    pairs, score = np.stack([low, high], 1)[order[new]], score[order[new]]
+    keep = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((-score, pairs[:, side]))
+        own = pairs[order, side]
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        keep[order[np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own)))) < most]] = True
+    return pairs[keep]
+
+
+def across(rule: Rule, most: int):
+    """Of sorted blocks: pairs of nodes of different components whose counts allow a link, the likeliest of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_blocks(batches):
+            block, bucket, node, comp, size = (table[c].to_numpy() for c in ("block", "bucket", "node", "comp", "n"))
+            held = points_of(table["point"])
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])])
+            head = np.flatnonzero(new)
+            lens = np.diff(np.append(head, len(block)))
+            out, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+
+            def keep(x: np.ndarray, y: np.ndarray) -> None:
+                apart = comp[x] != comp[y]  # noqa: B023
+                x, y = x[apart], y[apart]
+                score = likeness(held[x], held[y], size[x], size[y])  # noqa: B023
+                ok = np.flatnonzero(score >= rule.percent)
+                out.append(np.stack([node[x[ok]], node[y[ok]]], 1))  # noqa: B023
+                scores.append(score[ok])  # noqa: B023
+
+            for many in range(2, LEAF + 1):  # blocks of a leaf: all at once
+                at = head[lens == many]
+                for k in range(0, len(at), 50_000):
+                    for i in range(many):
+                        for j in range(i + 1, many):
+                            keep(at[k : k + 50_000] + i, at[k : k + 50_000] + j)
+            for a, n in zip(head[lens > LEAF], lens[lens > LEAF], strict=True):
+                own, tree = slice(a, a + n), RTree(held[a : a + n], size[a : a + n])
+                names, counts = np.unique(comp[own], return_counts=True)
+                for i in np.flatnonzero(comp[own] != names[np.argmax(counts)]) + a:  # the others meet all
+                    j = tree.partners(held[i], int(size[i]), rule.percent) + a
+                    keep(np.full(len(j), i), j)
+                    if len(scores[-1]) > most:
+                        best = np.argpartition(-scores[-1], most)[:most]
+                        out[-1], scores[-1] = out[-1][best], scores[-1][best]
+            pairs = likeliest(np.concatenate(out), np.concatenate(scores), most)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        tidy()
 
     return run
 
 
 def sets_of(text: str, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 sets, off = shingle_sets(part.column(text), rule.size)
-                blob = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(sets.astype("<u8"))])
-                yield pa.RecordBatch.from_arrays([part.column("node"), blob], ["node", "set"])
+                node, wanted = nodes_of(sets, off).view(np.int64), part.column("node").to_numpy()
+                for i in range(part.num_rows):
+                    if node[i] == wanted[i] and int(node[i]) not in done:
+                        done.add(int(node[i]))
+                    else:
+                        node[i] = wanted[i] + 1  # a row that repeats an id
+                at = np.flatnonzero(node == wanted)
+                blobs = [planes(sets[off[i] : off[i + 1]] >> np.uint64(16)) for i in at]  # sorted; 48 bits tell the shingles of two texts apart
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(blobs, pa.binary())], ["node", "set"])
+        tidy()
 
     return run
 
@@ -238,18 +344,25 @@ def verified(rule: Rule):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = unplaned(x.as_py()), unplaned(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
-def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, rule: Rule) -> DataFrame:
+    """The pairs (a, b), and whether their sets are ``linked``; sets are drawn from the texts of the pairs' nodes alone.
+
+    The list of these texts is broadcast while it is short, and joined by shuffle beyond ``SHORT`` rows.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = cut(ends.join(nodes.select("node", "rep.*"), "node"))
+    named = docs.join(F.broadcast(needed) if needed.count() <= SHORT else needed, ["id", "hash"]).select("node", text)
+    held = cut(named.mapInArrow(sets_of(text, rule), "node bigint, set binary"))
     with_x = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return with_x.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified(rule), "a bigint, b bigint")
+    return with_x.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified(rule), "a bigint, b bigint, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,36 +386,42 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
     id each get a row. A null id links as any other, and its component's id is the least that is not null. Other columns
     of ``docs`` don't matter; empty tables stay empty.
     """
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
+    own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST_ID)))
+    slim = docs.select(own.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias(text))
     total = slim.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
-    rows = cut(slim.mapInArrow(set_rows(key, text, rule), "id bigint, n bigint, node bigint, point binary"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"))
+    rows = cut(slim.mapInArrow(set_rows(text, rule), "id bigint, hash bigint, n bigint, node bigint, point binary"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"))
     buckets = max(LEAST, -(-total // BUCKET_BYTES))
-    blocks = slim.mapInArrow(block_rows(text, rule, buckets), "bucket int, block binary, node binary")
+    blocks = slim.mapInArrow(block_rows(text, rule, buckets), "bucket int, block binary, node binary, which binary")
     met = cut(blocks.groupBy("bucket").applyInArrow(members, "block bigint, bucket int, node bigint, leader bigint"))
 
     shared = met.where("node <> leader").groupBy("node", "leader").count()
-    sizes = nodes.select("node", "n")
     first = shared.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("b")).withColumnRenamed("node", "a")
-    needed = met.select("node").distinct().join(nodes, "node").select("node", "rep")
-    named = slim.join(needed.select("node", F.col("rep").alias(key)), key).select("node", text)
-    held = cut(named.mapInArrow(sets_of(text, rule), "node bigint, set binary").dropDuplicates(["node"]))
-    fit = lambda x, y: (100 * F.least(x, y) >= rule.percent * F.greatest(x, y))
-    sized = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    links = cut(verify(sized.where(fit(F.col("na"), F.col("nb"))).select("a", "b"), held, rule))
-
-    part = met.join(components(links), "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = part.groupBy("block", "bucket").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("block", "bucket")
-    rest = part.join(mixed, ["block", "bucket"]).join(nodes.select("node", "n", "point"), "node")
-    pairs = rest.groupBy("block", "bucket").applyInArrow(across(rule), "a bigint, b bigint").distinct()
-    links = cut(links.unionAll(verify(pairs, held, rule)))
-
-    names = nodes.select("node", "rep")
-    edges = links.join(names.select(F.col("node").alias("a"), F.col("rep").alias("_a")), "a").join(names.select(F.col("node").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    found = components(edges.where("a is not null and b is not null"))
-    placed = names.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("comp", "rep").alias("_comp"))
-    kept = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return kept.join(placed, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_comp", "id").alias("component_id"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    sized = first.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb"))
+    near = cut(sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded(rule), "a bigint, b bigint"))
+    tried = cut(verify(near, slim, nodes, text, rule))
+
+    part = met.select("block", "bucket", "node")
+    for most in ROUNDS:
+        comps = components(tried.where("linked").select("a", "b"))
+        part = part.join(comps, "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = part.groupBy("block", "bucket").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("block", "bucket")
+        part = cut(part.join(mixed, ["block", "bucket"]))
+        in_blocks = part.join(nodes.select("node", "n", "point"), "node").repartition("block", "bucket").sortWithinPartitions("block", "bucket")
+        pairs = cut(in_blocks.mapInArrow(across(rule, most), "a bigint, b bigint").distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and most == ROUNDS[-1]:
+            break
+        tried = cut(tried.unionAll(verify(pairs, slim, nodes, text, rule)))
+        part = part.select("block", "bucket", "node")
+    links = tried.where("linked")
+
+    found = components(links.select("a", "b"))
+    placed = cut(nodes.select("node", F.col("rep.id").alias("_rep")).join(found, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp")))
+    least = placed.join(placed.groupBy("comp").agg(F.min("_rep").alias("_comp")), "comp").select("node", "_comp")
+    kept = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(least, "node", "left")
+    known = lambda c: F.when(c != int(LAST_ID), c)
+    return kept.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("_comp", "id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
