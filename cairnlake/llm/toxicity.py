@@ -112,8 +112,8 @@ class Machine:
         low = -1
         for high in (4, 6, 8, 10, 12, 16, WIDTH):
             at = np.flatnonzero((sizes > low) & (sizes <= high))
-            for i in range(0, len(at), 20_000):
-                some = at[i : i + 20_000]
+            for i in range(0, len(at), 4_000):
+                some = at[i : i + 4_000]
                 keys, weights = subsequences([words[j] for j in some])
                 own = norms(keys, weights)
                 out[some] += np.divide((self.alpha[keys] * weights).sum(1), own, out=np.zeros(len(some)), where=own > 0)
@@ -172,12 +172,17 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         n[y] += 1
         seen[y].update({x for w in re.split(rb"[\x20\x09-\x0d]+", sentence.encode().lower()) for x in windows(w.strip(b".,;:!?"))})
     odds = lambda a, b: np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
-    stems = {y: Counter() for y in seen}
-    for y, words in seen.items():
-        for w, c in words.items():
-            for g in grams(w):
-                stems[y][g] += c
-    known = {g: v for g, c in stems[1].items() if c >= MIN_STEM and (v := odds(c, stems[0][g])) > TELLING}
+    del distinct
+    stems, clean_stems = Counter(), Counter()
+    for w, c in seen[1].items():
+        for g in grams(w):
+            stems[g] += c
+    stems = {g: c for g, c in stems.items() if c >= MIN_STEM}
+    for w, c in seen[0].items():
+        for g in grams(w):
+            if g in stems:
+                clean_stems[g] += c
+    known = {g: v for g, c in stems.items() if (v := odds(c, clean_stems[g])) > TELLING}
     telling = {}
     for w, c in seen[1].items():  # words of their own, and forms of a stem that clean sentences don't have
         best = max([odds(c, seen[0][w])] * (c >= MIN_SENTENCES) + [known[g] for g in grams(w) if g in known] * (not seen[0][w]), default=0.0)
@@ -194,7 +199,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         out[:, 0] = 0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
-    ranked = sorted(telling, key=lambda w: (-seen[1][w] * telling[w], w))[: 5 * INSULTS]
+    ranked = sorted(telling, key=lambda w: (-seen[1][w] * telling[w], w))[: 3 * INSULTS]
     alike, insults = maps(ranked), []
     alike = alike @ alike.T
     for i in range(len(ranked)):  # the most telling words that aren't near one taken before
