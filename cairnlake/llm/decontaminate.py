@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ALNUM, LOWER, packed, ragged, read, schema_with, slices, spans_of, text_bytes, with_columns
+from cairnlake.llm.common import ALNUM, LOWER, packed, ragged, read, schema_with, slices, spans_of, text_bytes, tidy, with_columns
 
 WINDOW = 10
 #: Bytes of test items that one pass over the documents searches for; more items make more passes.
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Every so many suffix positions are kept for locating.
 SAMPLED = 8
 #: Occurrences that are located at a time.
@@ -190,12 +190,17 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", cleaned: bool =
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         rows.sort(key=lambda r: r["item_id"])
         held = spark.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = out.mapInArrow(pass_over(held, text, k == 0), schema)
-    return out.mapInArrow(finish(text, cleaned), schema_with(docs, "n_words bigint, n_hit bigint, items array<string>"))
+        last = k == blocks - 1
+        out = out.mapInArrow(pass_over(held, text, k == 0, finish(text, cleaned) if last else None), schema_with(docs, "n_words bigint, n_hit bigint, items array<string>") if last else schema)
+    return out
 
 
-def pass_over(held, text: str, first_pass: bool):
+def pass_over(held, text: str, first_pass: bool, last=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = searched(batches)
+        yield from last(found) if last else found
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = held.value
         for batch in batches:
             for part in slices(batch, text, SHARD_BYTES):
@@ -221,6 +226,7 @@ def pass_over(held, text: str, first_pass: bool):
                     found_items = [sorted({*x, *y}) for x, y in zip(found_items, part.column("items").to_pylist(), strict=True)]
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield with_columns(part, {"n_words": pa.array(np.diff(first), pa.int64()), "_hit": pa.array(bits, pa.binary()), "items": pa.array(found_items, pa.list_(pa.string()))})
+        tidy()
 
     return run
 

@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ragged, read, schema_with, slices, text_bytes, with_columns
+from cairnlake.llm.common import ragged, read, schema_with, slices, text_bytes, tidy, with_columns
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Ids held by a task's table of chunks before it is begun anew.
-TABLE_IDS = 8_000_000
+TABLE_IDS = 600_000
 
 
 class Chunks:
@@ -99,11 +99,14 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(model_path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 ids, off = chunks.encode(part.column(text))
                 decoded = chunks.sp.decode([ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)], num_threads=1)
                 packed = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield with_columns(part, {"piece_ids": packed, "decoded": pa.array(decoded, pa.string())})
+            tidy()
+        chunks.clear()
+        tidy()
 
     return docs.mapInArrow(run, schema_with(docs, "piece_ids binary, decoded string"))
 

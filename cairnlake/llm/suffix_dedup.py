@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ragged, read, schema_with, spans_of, with_columns
+from cairnlake.llm.common import ragged, read, schema_with, spans_of, tidy, with_columns
 from cairnlake.llm.induced import CAP, by_window
 from cairnlake.llm.phrase_dedup import in_order
 from cairnlake.llm.winnow import TABLE, Passages, Plan, Units, bucket_of, candidates, dealt, distinct, groups, hashes, ids_of, keys_of, plan_for, shard_passages, sums
@@ -44,6 +44,7 @@ def passage_rows(plan: Plan, key: str, text: str):
             shard = docs["_shard"][0].as_py()
             for k, a, b in groups(bucket_of(some.anchor, plan.buckets)):
                 rows.append([k, shard, spread_bytes(low[a:b]), np.packbits(high[a:b] > low[a:b]).tobytes(), some.count[a:b].astype("u1").tobytes(), body[upto[a] : upto[b]].tobytes()])
+        tidy()
         names = ("bucket", "_shard", "least", "many", "count", "body")
         return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if i > 1 else pa.int32()) for i, n in enumerate(names)})
 
@@ -121,6 +122,7 @@ def sorted_bucket(window: int):
             run_at = np.flatnonzero(start)
             runs = np.diff(np.searchsorted(run_at, np.concatenate([[0], np.cumsum(count[some])])))
             rows.append((k, key[some].tobytes(), runs.astype("u1").tobytes(), np.diff(np.append(run_at, len(each))).astype("u1").tobytes(), spread_bytes(each[run_at])))
+        tidy()
         names = ("_shard", "key", "runs", "size", "first")
         return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i, n in enumerate(names)})
 
@@ -169,6 +171,7 @@ def cut_out(plan: Plan, key: str, text: str):
             "kept": pa.BinaryArray.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(kept)]),
         }
         done = with_columns(batch, new)
+        tidy()
         return pa.Table.from_batches([done.select([c for c in done.schema.names if c != "_shard"])])
 
     return run

@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import GAP, packed, slices, spans_of, text_bytes
+from cairnlake.llm.common import GAP, packed, slices, spans_of, text_bytes, tidy
 
 #: Bytes of text in a shard, and of text whose anchors make a bucket, on average; and the least number of either.
 SHARD_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 8 << 20, 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A text may have so many units.
 PLACE_BITS = 28
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -215,6 +215,7 @@ def anchor_rows(plan: Plan, text: str) -> Callable:
                 low, shard, bucket = low[head], shard[head], bucket[head]
                 rows = [(k, planes(low[a:b]), shard[a:b].astype("<u4").tobytes(), np.packbits(many[a:b]).tobytes()) for k, a, b in groups(bucket)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "low", "shard", "many"])
+        tidy()
 
     return run
 
@@ -238,6 +239,7 @@ def recurring(table: pa.Table) -> pa.Table:
     order = np.lexsort((low, shard))
     low, shard = low[order], shard[order]
     rows = [(k, planes(np.unique(low[a:b]))) for k, a, b in groups(shard)]
+    tidy()
     return pa.table({"_shard": pa.array([r[0] for r in rows], pa.int32()), "low": pa.array([r[1] for r in rows], pa.binary())})
 
 
