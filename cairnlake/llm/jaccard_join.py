@@ -32,7 +32,7 @@ LEAF = 16
 #: Rows of a list that is broadcast: of two numbers each.
 SHORT = 400_000
 #: Blocks of several components are tried in rounds: so many of the likeliest partners of a node, in the end all.
-ROUNDS = (2, 32, 1 << 30)
+ROUNDS = (4, 1 << 30)
 SLICE_BYTES = 2 << 20
 
 
@@ -50,12 +50,12 @@ class Rule:
     @property
     def slack(self) -> float:
         """Groups besides those that linked sets may differ in, as a share of these."""
-        return 0.15 if self.percent >= 89 else 0.5
+        return 0.15 if self.percent >= 89 else 0.25
 
     @property
     def small(self) -> int:
         """Blocks are of groups of so many shingles at least, unless a set has too few of them."""
-        return 3 if self.percent >= 89 else 2
+        return 3 if self.percent >= 89 else 1
 
     def groups(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(groups of a size band, groups that linked sets may differ in)."""
@@ -142,7 +142,7 @@ def set_rows(text: str, rule: Rule):
             for part in slices(batch, text, SLICE_BYTES):
                 sets, off = shingle_sets(part.column(text), rule.size)
                 held = points(sets, off)
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * COORDINATES), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(np.minimum(held, 65535).astype("<u2")))])
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(np.minimum(held, 255).astype(np.uint8)))])
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(np.diff(off), pa.int64()), pa.array(nodes_of(sets, off).view(np.int64)), rows.cast(pa.binary())], ["id", "hash", "n", "node", "point"])
         tidy()
 
@@ -223,9 +223,9 @@ def likeness(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np
 
 
 def points_of(col: pa.Array) -> np.ndarray:
-    held = np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, COORDINATES)
-    if len(held) and held.max() == 65535:  # a count that large may be larger
-        held = np.where(held == 65535, 1 << 24, held.astype(np.int32))
+    held = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    if len(held) and held.max() == 255:  # a count that large may be larger
+        held = np.where(held == 255, 1 << 24, held.astype(np.int32))
     return held
 
 
