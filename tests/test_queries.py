@@ -31,3 +31,12 @@ def test_content_hash(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in QUERIES["blake2b_content"](spark, FOLDER).collect():
         assert r["hash"] == hashlib.blake2b(docs[r["doc_id"]].encode(), digest_size=32).hexdigest()
+
+
+def test_base64_of_whole_contents(spark):
+    import base64
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert max(len(t.encode()) for t in docs.values()) >= 2000
+    found = {r["doc_id"]: r["body"] for r in QUERIES["base64_content"](spark, FOLDER).collect()}
+    assert found == {d: base64.b64encode(t.encode()).decode() for d, t in docs.items()}
