@@ -60,23 +60,36 @@ def allocate_ids(uploads: DataFrame) -> DataFrame:
 class FirstFit:
     """The lowest volume with room: a tree of free bytes over the volumes opened so far."""
 
-    def __init__(self, most: int):
-        self.most, self.size, self.free = most, 1, [most, most]
+    def __init__(self, most: int, oversized: bool = False):
+        self.most, self.oversized, self.size, self.free = most, oversized, 1, [most, most]
+        self.opened = 0
 
     def place(self, need: int) -> int:
         if need > self.most:
-            return -1
+            return self.alone() if self.oversized else -1
         while self.free[1] < need:
             self.grow()
         at = 1
         while at < self.size:
             at = 2 * at if self.free[2 * at] >= need else 2 * at + 1
         found = at - self.size
+        self.take(at, need)
+        return found
+
+    def alone(self) -> int:
+        """A new volume, used up at once; not even an empty record fits next to one over the limit."""
+        while self.opened >= self.size:
+            self.grow()
+        found = self.opened
+        self.take(self.size + found, self.most)
+        return found
+
+    def take(self, at: int, need: int) -> None:
+        self.opened = max(self.opened, at - self.size + 1)
         self.free[at] -= need
         while at > 1:
             at //= 2
             self.free[at] = max(self.free[2 * at], self.free[2 * at + 1])
-        return found
 
     def grow(self) -> None:
         leaves = [*self.free[self.size :], *[self.most] * self.size]
@@ -86,15 +99,17 @@ class FirstFit:
             self.free[i] = max(self.free[2 * i], self.free[2 * i + 1])
 
 
-def first_fit(uploads: DataFrame, most: int) -> DataFrame:
-    """(seq, volume_id): each framed record goes to the lowest volume that holds it, else to a new one; -1 if none can.
+def first_fit(uploads: DataFrame, most: int, oversized: bool = False) -> DataFrame:
+    """(seq, volume_id): each framed record goes to the lowest volume that holds it, else to a new one.
+
+    A record over ``most`` gets -1, or, with ``oversized``, the next new volume to itself, as in the store.
 
     The fold depends on every row before, so one task streams the rows in order; it holds a number for each volume, and
     only sequence and size go to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit = FirstFit(most)
+        fit = FirstFit(most, oversized)
         for batch in batches:
             found = [fit.place(n + OVERHEAD) for n in batch.column("size").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([v + 1 if v >= 0 else -1 for v in found], pa.int64())], ["seq", "volume_id"])

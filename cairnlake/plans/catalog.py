@@ -354,7 +354,7 @@ fold AS (SELECT 0::BIGINT AS i, CAST([] AS BIGINT[]) AS used, 0::BIGINT AS seq,
  FROM fold JOIN u ON u.i = fold.i + 1, LATERAL (SELECT list_position(list_transform(used, lambda x: x + need <= {CAP}), true) AS at) p)
 SELECT seq, volume_id FROM fold WHERE i > 0""".replace(", RECURSIVE_MARK AS (SELECT 1)", ""))
 def first_fit_placement(lake: Lake) -> DataFrame:
-    return ordered.first_fit(lake.uploads, CAP)
+    return ordered.first_fit(lake.uploads, CAP, oversized=True)
 
 
 @query("SELECT blob_id, volume_id, blob_offset FROM blobs WHERE volume_id IS NOT NULL ORDER BY volume_id, blob_offset, blob_id LIMIT 50 OFFSET 20")

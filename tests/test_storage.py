@@ -3,9 +3,11 @@
 import io
 import random
 
+from duck import connect, same
 from pyspark.sql import functions as F
 
 from cairnlake.operators import catalog, ordered
+from cairnlake.plans.registry import ORACLES, QUERIES
 from cairnlake.sources import formats, volumes
 
 
@@ -57,6 +59,14 @@ def test_first_fit(spark):
     assert [r["volume_id"] for r in sorted(ordered.first_fit(df, 1000).collect())] == want
 
 
+def test_first_fit_above_the_cap(spark, tmp_path):
+    sizes, want = [65_511, 10, 70_000, 65_000, 510, 65_536, 65_510, 5], [1, 2, 3, 2, 4, 5, 6, 2]
+    spark.createDataFrame([(i, "x" * s) for i, s in enumerate(sizes)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["first_fit_placement"](spark, str(tmp_path))
+    assert [r["volume_id"] for r in sorted(found.collect())] == want
+    same(found, connect(str(tmp_path)), ORACLES["first_fit_placement"])
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     assert all(r["n"] == r["k"] + 1 for r in ordered.numbered(df, "k", "n").collect())
