@@ -130,8 +130,9 @@ class Phrases:
         sizes = np.diff(first)
         counts = np.where(sizes == 0, 0, np.maximum(sizes - WINDOW + 1, 1))
         at = ragged(first[:-1], counts)
-        item = np.repeat(np.arange(len(ids)), counts)
-        lens = np.minimum(WINDOW, sizes[item])
+        lens = np.repeat(np.minimum(WINDOW, sizes), counts)
+        self.ids, number = np.unique(np.array(ids, dtype=object), return_inverse=True)  # rows may share an id
+        item = np.repeat(number.reshape(-1), counts)
         rows = np.full((len(at), WINDOW), -1, np.int64)
         for k in range(WINDOW):
             ok = lens > k
@@ -144,7 +145,6 @@ class Phrases:
         self.lens = (self.rows >= 0).sum(1)
         pairs = np.unique(np.stack([inverse, item], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
         self.items, self.item_first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-        self.ids = np.array(ids, dtype=object)
         self.shortest = int(self.lens.min()) if len(self.lens) else 0
 
 

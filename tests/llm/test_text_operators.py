@@ -113,6 +113,21 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.found(frame(spark, rows), table.where("item_id < 0")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 20])  # one pass and several
+def test_repeated_item_ids(spark, monkeypatch, tmp_path, block):
+    from duck import connect, same
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    spark.createDataFrame([(1, "red green blue and one two three"), (2, "six")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "red green blue"), (7, "one two three"), (8, "six"), (8, "six")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tables = connect(str(tmp_path))
+    for name in ("documents", "benchmark"):
+        tables.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.op6_decontamination(spark, str(tmp_path))
+    assert [r["n_items"] for r in got.orderBy("doc_id").collect()] == [1, 1]
+    same(got, tables, decontaminate.ORACLE)
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(7)]
     held = {r["slot"]: r["shard"] for r in sharding.table(spark, names, 503).collect()}
