@@ -9,7 +9,7 @@ into removal spans.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,10 +119,15 @@ def words_of(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     return packed(data, begins, ends), begins, ends, first
 
 
+def in_order(ids: Iterable[str | None]) -> list[str | None]:
+    """The distinct ids, sorted; a null comes last."""
+    return sorted(set(ids), key=lambda x: (x is None, x or ""))
+
+
 class Phrases:
     """The windows of test items as rows of word numbers, and the items of each window."""
 
-    def __init__(self, ids: list[str], texts: list[str | None]):
+    def __init__(self, ids: list[str | None], texts: list[str | None]):
         words, _, _, first = words_of(pa.array(texts, pa.string()))
         table = words.dictionary_encode()
         self.vocabulary = table.dictionary
@@ -131,8 +136,10 @@ class Phrases:
         counts = np.where(sizes == 0, 0, np.maximum(sizes - WINDOW + 1, 1))
         at = ragged(first[:-1], counts)
         lens = np.repeat(np.minimum(WINDOW, sizes), counts)
-        self.ids, number = np.unique(np.array(ids, dtype=object), return_inverse=True)  # rows may share an id
-        item = np.repeat(number.reshape(-1), counts)
+        own = in_order(ids)  # rows may share an id
+        numbers = {x: k for k, x in enumerate(own)}
+        self.ids = np.array(own, dtype=object)
+        item = np.repeat(np.array([numbers[x] for x in ids], np.int64), counts)
         rows = np.full((len(at), WINDOW), -1, np.int64)
         for k in range(WINDOW):
             ok = lens > k
@@ -178,17 +185,18 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", cleaned: bool =
     """``docs`` with n_words, n_hit (words inside occurrences), items (ids of the items met, sorted as strings).
 
     With ``cleaned``, the text itself loses every maximal run of hit words, from its first byte to its last. Null texts
-    have no words and stay null. Null item ids are left out; items without words occur nowhere. Rows keep their rows,
-    empty tables give no hits, own columns named like the new ones are replaced.
+    have no words and stay null. Items of null ids are searched as any other and make one null at the end of the ids, which
+    counts as an item, as in the SQL; items without words occur nowhere. Rows keep their rows, empty tables give no hits,
+    own columns named like the new ones are replaced.
     """
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     spark, out = docs.sparkSession, docs
     schema = schema_with(docs, "n_words bigint, _hit binary, items array<string>")
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        rows.sort(key=lambda r: r["item_id"])
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or ""))
         held = spark.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows]))
         last = k == blocks - 1
         out = out.mapInArrow(pass_over(held, text, k == 0, finish(text, cleaned) if last else None), schema_with(docs, "n_words bigint, n_hit bigint, items array<string>") if last else schema)
@@ -218,12 +226,12 @@ def pass_over(held, text: str, first_pass: bool, last=None):
                 hit = np.cumsum(cover[:-1]) > 0
                 pairs = np.unique(np.concatenate(pairs), axis=0)
                 cuts = np.searchsorted(pairs[:, 0], np.arange(part.num_rows + 1))
-                found_items = [sorted(phrases.ids[pairs[a:b, 1]].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                found_items = [phrases.ids[pairs[a:b, 1]].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
                 if not first_pass:
                     before = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in part.column("_hit")), np.uint8))
                     sizes = -(-np.diff(first) // 8) * 8
                     hit |= before[ragged(np.cumsum(sizes) - sizes, np.diff(first))] > 0
-                    found_items = [sorted({*x, *y}) for x, y in zip(found_items, part.column("items").to_pylist(), strict=True)]
+                    found_items = [in_order([*x, *y]) for x, y in zip(found_items, part.column("items").to_pylist(), strict=True)]
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield with_columns(part, {"n_words": pa.array(np.diff(first), pa.int64()), "_hit": pa.array(bits, pa.binary()), "items": pa.array(found_items, pa.list_(pa.string()))})
         tidy()

@@ -7,6 +7,7 @@ import pytest
 from brute import contamination, corpus, frame, prose, statistics
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cairnlake.llm import decontaminate, quality_rules, quote_linking, sentencepieces, sharding, toxicity, url_filter
 from cairnlake.llm import registry
 
@@ -128,6 +129,24 @@ def test_repeated_item_ids(spark, monkeypatch, tmp_path, block):
     same(got, tables, decontaminate.ORACLE)
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 20])  # one pass and several
+def test_null_item_ids(spark, monkeypatch, tmp_path, block):
+    from duck import connect, same
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    spark.createDataFrame([(1, "red green blue and one two three"), (2, "a six b"), (3, "none")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, "red green blue"), (7, "one two three"), (None, "six"), (None, "one two three"), (None, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tables = connect(str(tmp_path))
+    for name in ("documents", "benchmark"):
+        tables.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.op6_decontamination(spark, str(tmp_path))
+    assert [r["n_hit"] for r in got.orderBy("doc_id").collect()] == [6, 1, 0]
+    same(got, tables, decontaminate.ORACLE)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    cleaned = corpus_pipeline.benchmark_passages(spark, docs.selectExpr("*", "'' AS lang", "'' AS source"), str(tmp_path))
+    assert [r["text"] for r in cleaned.orderBy("doc_id").collect()] == [" and ", "a  b", "none"]
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(7)]
     held = {r["slot"]: r["shard"] for r in sharding.table(spark, names, 503).collect()}
