@@ -379,15 +379,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """(key, n_shingles, component_id) of each row of ``docs``.
-
-    A null text or one without words has no shingles, is linked with nothing and is its own component. Rows that repeat an
-    id each get a row. A null id links as any other, and its component's id is the least that is not null. Other columns
-    of ``docs`` don't matter; empty tables stay empty.
-    """
-    own = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST_ID)))
-    slim = docs.select(own.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias(text))
+def linked(docs: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, hash, n, node) of the rows, (node, rep, n, point) of the distinct sets, (node, comp) of those that are linked."""
+    own, hashed = identity(key, text)
+    slim = docs.select(own.alias("id"), hashed.alias("hash"), F.col(f"`{text}`").alias(text))
     total = slim.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
     rows = cut(slim.mapInArrow(set_rows(text, rule), "id bigint, hash bigint, n bigint, node bigint, point binary"))
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"))
@@ -415,8 +410,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
         tried = cut(tried.unionAll(verify(pairs, slim, nodes, text, rule)))
         part = part.select("block", "bucket", "node")
     links = tried.where("linked")
+    return rows, nodes, components(links.select("a", "b"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """(key, n_shingles, component_id) of each row of ``docs``.
 
-    found = components(links.select("a", "b"))
+    A null text or one without words has no shingles, is linked with nothing and is its own component. Rows that repeat an
+    id each get a row. A null id links as any other, and its component's id is the least that is not null. Other columns
+    of ``docs`` don't matter; empty tables stay empty.
+    """
+    rows, nodes, found = linked(docs, key, text, rule)
     placed = cut(nodes.select("node", F.col("rep.id").alias("_rep")).join(found, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp")))
     least = placed.join(placed.groupBy("comp").agg(F.min("_rep").alias("_comp")), "comp").select("node", "_comp")
     kept = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(least, "node", "left")
@@ -424,5 +428,26 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
     return kept.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("_comp", "id")).alias("component_id"))
 
 
+def identity(key: str, text: str):
+    """A row's id, the greatest number for a null, and the hash of its text."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST_ID))), F.xxhash64(F.col(f"`{text}`"))
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` that are left when each component keeps its row of the least id, a null the last, and text hash.
+
+    Rows that share an id are told apart by their texts; of rows equal in both one stays. A text without shingles is its
+    own component; such rows of a null id all stay.
+    """
+    rows, nodes, found = linked(docs, key, text, rule)
+    least = nodes.select("node", "rep").join(found, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("rep").alias("rep"))
+    bare = rows.where("n = 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.lit(True).alias("_bare")).distinct()
+    first = least.select(F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"), F.lit(False).alias("_bare")).unionAll(bare)
+    own, hashed = identity(key, text)
+    kept = docs.withColumns({"_id": own, "_hash": hashed}).join(first, ["_id", "_hash"])
+    apart = F.when(F.col("_bare") & (F.col("_id") == int(LAST_ID)), F.monotonically_increasing_id())
+    return kept.withColumn("_apart", apart).dropDuplicates(["_id", "_hash", "_apart"]).select(*docs.columns)
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text"))

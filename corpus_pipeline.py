@@ -30,10 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id; rows that repeat its id stay once, null ids stay."""
-    found = jaccard_join.joined(docs, rule=NEAR)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return documents(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null")))
+    """Of each group of near duplicates the row of the least id and text hash, null ids last; rows equal in both stay once."""
+    return documents(jaccard_join.survivors(docs, rule=NEAR))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,14 @@ def test_stages(spark, tmp_path):
     last = tables[5].collect()
     assert {r["doc_id"]: r["decoded_sha256"] for r in last} == {d: sha(t) for d, t in held[4].items()}
     assert corpus_pipeline.run(spark, FOLDER).count() == len(last)
+
+
+def test_near_duplicates_by_row(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] + words[1::2])
+    rows = [(1, one), (2, one + " x"), (2, other), (2, other), (None, one + " y"), (None, third), (None, third + " z"), (None, ""), (None, ""), (3, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sum(d is None and t in (third, third + " z") for d, t in got) == 1
+    rest = [(d, t) for d, t in got if t not in (third, third + " z")]
+    assert sorted(rest, key=repr) == sorted([(1, one), (2, other), (None, ""), (None, ""), (3, None), (3, "")], key=repr)
