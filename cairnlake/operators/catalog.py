@@ -20,9 +20,9 @@ def share(part: Column, whole: Column) -> Column:
 def same_file(files: DataFrame, wanted: DataFrame, with_legacy: bool) -> DataFrame:
     """For each wanted row the first file (by id) of the same blob and name, and null-safely the same expiry (and legacy id)."""
     keys = ["blob_id", "name", "expires_at"] + ["legacy_id"] * with_legacy
-    w, f = wanted.alias("w"), files.alias("f")
+    w, f = wanted.alias("w"), files.groupBy(*keys).agg(F.min("file_id").alias("file_id")).alias("f")  # a key of many files is one row
     on = [F.col(f"w.{k}").eqNullSafe(F.col(f"f.{k}")) if k in ("expires_at", "legacy_id") else F.col(f"w.{k}") == F.col(f"f.{k}") for k in keys]
-    return w.join(f, on).groupBy(F.col("w.request_id").alias("request_id")).agg(F.min("f.file_id").alias("file_id"))
+    return w.join(f, on).select("w.request_id", "f.file_id")
 
 
 def expired(files: DataFrame, now: str) -> DataFrame:
@@ -47,8 +47,21 @@ def fragmented(volumes: DataFrame, percent: float) -> DataFrame:
 
 
 def file_info(files: DataFrame, blobs: DataFrame, types: DataFrame) -> DataFrame:
-    """Files with their blob and type; files without either are an error and stay out."""
-    return files.join(blobs, "blob_id").join(F.broadcast(types), "file_type_id")  # types: a dimension of file kinds
+    """Files with their blob and type; files without either are an error and stay out (see broken_files)."""
+    return files.join(blobs, "blob_id").join(types, "file_type_id")
+
+
+def broken_files(files: DataFrame, blobs: DataFrame, types: DataFrame) -> DataFrame:
+    """(file_id, error) of the files that file_info leaves out."""
+    known = types.select("file_type_id", F.lit(True).alias("_type"))
+    found = files.join(blobs.select("blob_id", "file_type_id", F.lit(True).alias("_blob")), "blob_id", "left").join(known, "file_type_id", "left")
+    error = F.when(F.col("_blob").isNull(), "no blob").when(F.col("_type").isNull(), "no file type")
+    return found.select("file_id", error.alias("error")).where("error is not null")
+
+
+def inlined(info: DataFrame, contents: DataFrame) -> DataFrame:
+    """Files' info with their whole content in base64; ``contents`` has (blob_id, content)."""
+    return info.join(contents.select("blob_id", F.base64("content").alias("content_base64")), "blob_id")
 
 
 def orphan_blobs(blobs: DataFrame, files: DataFrame) -> DataFrame:

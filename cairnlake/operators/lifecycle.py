@@ -55,9 +55,10 @@ def dimension(rows: DataFrame, wanted: DataFrame, key: str, by: list[str]) -> Da
 
 def saved_files(files: DataFrame, requests: DataFrame) -> DataFrame:
     """What becomes of requests (request_id, blob_id, name, expires_at): the file they meet, or themselves as a new one."""
-    r, f = requests.alias("r"), files.alias("f")
+    held = files.groupBy("blob_id", "name", "expires_at").agg(F.min("file_id").alias("_met"))  # a key of many files is one row
+    r, f = requests.alias("r"), held.alias("f")
     same = (F.col("r.blob_id") == F.col("f.blob_id")) & (F.col("r.name") == F.col("f.name")) & F.col("r.expires_at").eqNullSafe(F.col("f.expires_at"))
-    met = r.join(f, same, "left").groupBy(F.col("r.request_id").alias("request_id")).agg(F.min("f.file_id").alias("_met"))
+    met = r.join(f, same, "left")
     return met.select("request_id", F.coalesce("_met", "request_id").alias("file_id"), F.col("_met").isNull().alias("inserted"))
 
 
@@ -66,3 +67,28 @@ def legacy_conflicts(files: DataFrame, requests: DataFrame) -> DataFrame:
     held = files.where("legacy_id is not null").groupBy("legacy_id").agg(F.min("blob_id").alias("_low"), F.max("blob_id").alias("_high"))
     other = (F.col("_low") != F.col("blob_id")) | (F.col("_high") != F.col("blob_id"))
     return requests.join(held, "legacy_id", "left").select("request_id", F.when(other, "conflict").otherwise("ok").alias("outcome"))
+
+
+def next_id(files: DataFrame, counter: DataFrame) -> DataFrame:
+    """(next_id): what the counter goes on with: its own next, one more than the greatest id in use, and 1 at least."""
+    top = files.agg(F.max("legacy_id").alias("_top"))
+    held = counter.agg(F.max("next_id").alias("_held"))
+    return top.join(held).select(F.greatest(F.lit(1), F.coalesce("_held", F.lit(1)), F.coalesce(F.col("_top") + 1, F.lit(1))).cast("long").alias("next_id"))
+
+
+def ensured(counter: DataFrame, ids: DataFrame) -> DataFrame:
+    """The counter kept ahead of explicit ids (legacy_id)."""
+    return next_id(ids, counter)
+
+
+def allocated(counter: DataFrame, wanting: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the ids from the counter on, in the order of a column; the counter after them)."""
+    given = numbered(wanting, order, "_n").join(F.broadcast(counter)).withColumn("legacy_id", F.col("next_id") + F.col("_n") - 1).drop("_n", "next_id")
+    return given, counter.join(wanting.agg(F.count("*").alias("_more"))).select((F.col("next_id") + F.col("_more")).alias("next_id"))
+
+
+def progress(rows: DataFrame, order: str, step: int = 100) -> DataFrame:
+    """(number, percent) after every ``step`` rows."""
+    total = rows.agg(F.count("*").alias("_total"))
+    marks = numbered(rows.select(order), order, "number").where(F.col("number") % step == 0)
+    return marks.join(F.broadcast(total)).select(F.col("number").cast("long").alias("number"), (F.col("number") / F.col("_total") * 100).alias("percent"))

@@ -84,6 +84,12 @@ class FirstFit:
         self.take(self.size + found, self.most)
         return found
 
+    def hold(self, at: int, used: int) -> None:
+        """A volume that is in use already."""
+        while at >= self.size:
+            self.grow()
+        self.take(self.size + at, used)
+
     def take(self, at: int, need: int) -> None:
         self.opened = max(self.opened, at - self.size + 1)
         self.free[at] -= need
@@ -99,10 +105,11 @@ class FirstFit:
             self.free[i] = max(self.free[2 * i], self.free[2 * i + 1])
 
 
-def first_fit(uploads: DataFrame, most: int, oversized: bool = False) -> DataFrame:
+def first_fit(uploads: DataFrame, most: int, oversized: bool = False, held: DataFrame | None = None) -> DataFrame:
     """(seq, volume_id): each framed record goes to the lowest volume that holds it, else to a new one.
 
-    A record over ``most`` gets -1, or, with ``oversized``, the next new volume to itself, as in the store.
+    A record over ``most`` gets -1, or, with ``oversized``, the next new volume to itself, as in the store. Volumes that
+    hold something already are given as (volume_id, size_total).
 
     The fold depends on every row before, so one task streams the rows in order; it holds a number for each volume, and
     only sequence and size go to it.
@@ -111,9 +118,16 @@ def first_fit(uploads: DataFrame, most: int, oversized: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = FirstFit(most, oversized)
         for batch in batches:
-            found = [fit.place(n + OVERHEAD) for n in batch.column("size").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([v + 1 if v >= 0 else -1 for v in found], pa.int64())], ["seq", "volume_id"])
-
-    return uploads.select("seq", "size").orderBy("seq").coalesce(1).mapInArrow(run, "seq bigint, volume_id bigint")
-
-
+            seqs, found = [], []
+            for kind, seq, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "seq", "size")), strict=True):
+                if kind == 0:
+                    fit.hold(seq - 1, n)
+                else:
+                    seqs.append(seq)
+                    found.append(fit.place(n + OVERHEAD))
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array([v + 1 if v >= 0 else -1 for v in found], pa.int64())], ["seq", "volume_id"])
+
+    rows = uploads.select(F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size"))
+    if held is not None:
+        rows = rows.unionAll(held.select(F.lit(0), F.col("volume_id").cast("long"), F.col("size_total").cast("long")))
+    return rows.orderBy("kind", "seq").coalesce(1).mapInArrow(run, "seq bigint, volume_id bigint")

@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from cairnlake.operators.ordered import earliest, latest
 from cairnlake.schema import OVERHEAD
+from cairnlake.sources import volumes
 from cairnlake.sources.formats import unpack
 
 
-def deep_integrity(blobs: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: catalogued blobs whose record is missing, elsewhere or damaged, orphans, missing blobs, and the verdict.
+def missing_volumes(blobs: DataFrame, listed: DataFrame) -> DataFrame:
+    """(volume_id) of the volumes that blobs lie in and that have no file in the listing (volume_id, name, bytes)."""
+    return blobs.where("volume_id is not null").select("volume_id").distinct().join(listed.select("volume_id"), "volume_id", "left_anti")
+
+
+def deep_integrity(blobs: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """One row: committed blobs that can't be read at their place, missing volumes, orphans, missing blobs, and the verdict.
 
     Pending blobs have no place yet; they are counted and not looked for.
     """
-    placed = blobs.where("state = 'committed'").select("blob_id", "volume_id", "blob_offset")
-    seen = records.select("volume_id", F.col("offset").alias("blob_offset"), F.col("blob_id").alias("_found"), "crc_ok")
-    met = placed.join(seen, ["volume_id", "blob_offset"], "left")
-    bad = F.col("_found").isNull() | (F.col("_found") != F.col("blob_id")) | ~F.col("crc_ok")
-    checked = met.agg(F.count("*").alias("checked"), F.count_if(bad).alias("unreadable"))
+    there = blobs.where("state = 'committed'")
+    lost = there.where("volume_id is null or blob_offset is null")
+    read = volumes.read_blobs(there.where("volume_id is not null and blob_offset is not null"), folder)
+    checked = read.select("readable").unionAll(lost.select(F.lit(False))).agg(F.count("*").alias("checked"), F.count_if(~F.col("readable")).alias("unreadable"))
     pending = blobs.agg(F.count_if(F.col("state") == "pending").alias("pending"))
+    gone = missing_volumes(there, volumes.read_records(blobs.sparkSession, "files", folder)).agg(F.count("*").alias("missing_volumes"))
     orphans = blobs.join(files.select("blob_id"), "blob_id", "left_anti").agg(F.count("*").alias("orphan_blobs"))
     missing = files.join(blobs.select("blob_id"), "blob_id", "left_anti").agg(F.count("*").alias("missing_blobs"))
-    one = checked.join(pending).join(orphans).join(missing)  # one row each
-    verdict = F.when((F.col("unreadable") > 0) | (F.col("missing_blobs") > 0), "error").when(F.col("orphan_blobs") > 0, "warning").otherwise("ok")
-    return one.withColumn("status", verdict)
+    one = checked.join(pending).join(gone).join(orphans).join(missing)  # one row each
+    wrong = (F.col("unreadable") > 0) | (F.col("missing_blobs") > 0) | (F.col("missing_volumes") > 0)
+    return one.withColumn("status", F.when(wrong, "error").when(F.col("orphan_blobs") > 0, "warning").otherwise("ok"))
 
 
 def rebuilt(records: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

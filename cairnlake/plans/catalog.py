@@ -23,14 +23,14 @@ def file_by_id(lake: Lake) -> DataFrame:
 
 @query("SELECT blob_id, hash, state FROM blobs WHERE hash = (SELECT min(hash) FROM blobs)")
 def blob_by_hash(lake: Lake) -> DataFrame:
-    wanted = lake.blobs.agg(F.min("hash")).first()[0]
-    return lake.blobs.where(F.col("hash") == wanted).select("blob_id", "hash", "state")
+    wanted = lake.blobs.agg(F.min("hash").alias("hash"))
+    return lake.blobs.join(wanted, "hash", "left_semi").select("blob_id", "hash", "state")
 
 
 @query("SELECT blob_id FROM blobs WHERE state = 'committed' AND hash = (SELECT max(hash) FROM blobs WHERE state = 'committed')")
 def committed_blob_by_hash(lake: Lake) -> DataFrame:
     held = lake.blobs.where("state = 'committed'")
-    return held.where(F.col("hash") == held.agg(F.max("hash")).first()[0]).select("blob_id")
+    return held.join(held.agg(F.max("hash").alias("hash")), "hash", "left_semi").select("blob_id")
 
 
 @query("SELECT * FROM files WHERE legacy_id = 8")
@@ -102,13 +102,6 @@ def volumes_with_room(lake: Lake) -> DataFrame:
     return lake.volumes.where("size_total + 1000 <= 200000").select("volume_id")
 
 
-@query("""SELECT i AS volume_id, CASE WHEN volume_id IS NULL OR volume_id % 3 = 0 THEN 'MISSING' ELSE 'OK' END AS status FROM generate_series(1, 12) AS s(i) LEFT JOIN volumes ON volume_id = i""")
-def volume_files_status(lake: Lake) -> DataFrame:
-    """Volumes against the files that a listing of the folder found."""
-    listed = lake.volumes.where("volume_id % 3 <> 0").select("volume_id", F.lit("OK").alias("found"))
-    return lake.spark.range(1, 13).select(F.col("id").alias("volume_id")).join(listed, "volume_id", "left").select("volume_id", F.coalesce("found", F.lit("MISSING")).alias("status"))
-
-
 @query("SELECT i AS volume_id, coalesce(size_total, 0) AS size_total FROM generate_series(1, 12) AS s(i) LEFT JOIN volumes ON volume_id = i")
 def volume_chain(lake: Lake) -> DataFrame:
     """Volumes from the first to the current one; an unknown volume counts as empty."""
@@ -149,11 +142,6 @@ def integrity_quick(lake: Lake) -> DataFrame:
     return c.quick_integrity(lake.files, lake.blobs)
 
 
-@query("SELECT DISTINCT b.volume_id FROM blobs b WHERE b.volume_id IS NOT NULL AND b.volume_id NOT IN (SELECT volume_id FROM volumes WHERE volume_id % 3 <> 0)")
-def volumes_missing_on_disk(lake: Lake) -> DataFrame:
-    return lake.blobs.where("volume_id is not null").select("volume_id").distinct().join(lake.volumes.where("volume_id % 3 <> 0"), "volume_id", "left_anti")
-
-
 @query("""SELECT r.seq, r.file_id, r.blob_id, b.volume_id, b.blob_offset FROM replay_log r JOIN blobs b ON r.blob_id = b.blob_id""")
 def log_probe(lake: Lake) -> DataFrame:
     return lake.replay_log.join(lake.blobs, "blob_id").select("seq", "file_id", "blob_id", "volume_id", "blob_offset")

@@ -97,6 +97,23 @@ class Lake:
         """Uploads in the order of arrival."""
         return self.hashed.select(F.col("doc_id").alias("seq"), "hash", F.octet_length("text").cast("long").alias("size"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("legacy_id"))
 
+    @cached_property
+    def incoming(self) -> DataFrame:
+        """A batch of uploads: contents that are known, new, repeated and too long; ids that are free, taken, named twice or left out."""
+        d = F.col("doc_id")
+        content = F.when(d % 6 == 5, F.concat("lang", "source")).when(d % 6 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+        validity = F.when(d % 8 == 0, "").when(d % 8 == 1, "bogus").when(d % 8 == 2, "7 days").otherwise("1 month")
+        return self.documents.select(
+            F.concat(F.lit("u-"), d.cast("string")).alias("request_id"),
+            d.alias("seq"),
+            F.concat("lang", F.lit(".txt")).alias("name"),
+            content.cast("binary").alias("content"),
+            F.lit("").alias("content_type"),
+            F.when(d % 5 == 0, None).when(d % 5 == 1, d % 700).otherwise(5_000_000 + F.expr("doc_id div 2")).cast("long").alias("legacy_id"),
+            validity.alias("validity"),
+            F.when(d % 3 == 0, "").otherwise(F.concat("lang", F.lit(", "), "source")).alias("tags"),
+        )
+
     @cached_property
     def requests(self) -> DataFrame:
         user = F.col("user_id").cast("string")
@@ -133,6 +150,9 @@ file_types AS (SELECT * FROM (VALUES (1::BIGINT, 'text/plain', 'text', 'plain'),
 replay0 AS (SELECT *, CAST(substr(file_id, 3) AS BIGINT) AS seq FROM files),
 replay_log AS (SELECT * FROM replay0 UNION ALL SELECT file_id, name, blob_id, legacy_id, created_at, expires_at, '["again"]', seq + 1000000 FROM replay0 WHERE seq % 7 = 0),
 uploads AS (SELECT doc_id AS seq, hash, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS legacy_id FROM hashed),
+incoming AS (SELECT 'u-' || doc_id AS request_id, doc_id AS seq, lang || '.txt' AS name, CASE doc_id % 6 WHEN 5 THEN lang || source WHEN 3 THEN text || '!' ELSE text END AS content,
+  CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN doc_id % 700 ELSE 5000000 + doc_id // 2 END AS legacy_id,
+  CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'bogus' WHEN 2 THEN '7 days' ELSE '1 month' END AS validity, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ', ' || source END AS tags FROM documents),
 requests AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
   CASE event_id % 3 WHEN 0 THEN '/v2/files/' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '-0000-4000-8000-' || lpad(CAST(user_id AS VARCHAR), 12, '0') WHEN 1 THEN '/base/files/old/' || user_id ELSE '/' || event_type END AS path,
   CASE WHEN value > 100 THEN 500 WHEN value > 80 THEN 404 ELSE 200 END AS status, value / 1000 AS duration_s, value FROM events),

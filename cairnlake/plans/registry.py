@@ -26,4 +26,4 @@ def query(sql: str | None = None, fixtures: bool = True):
     return add
 
 
-from cairnlake.plans import catalog, formats, lifecycle, scalars  # noqa: E402, F401
+from cairnlake.plans import catalog, flows, formats, lifecycle, scalars, upkeep  # noqa: E402, F401

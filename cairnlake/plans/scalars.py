@@ -85,7 +85,7 @@ def file_type_detect(lake: Lake) -> DataFrame:
 starts_with(mime_type, 'image/') AS is_image, mime_type = 'application/pdf' AS is_pdf, CASE WHEN contains(mime_type, 'png') THEN 'image/png' ELSE 'image/jpeg' END AS output_type FROM blobs JOIN file_types USING (file_type_id)""")
 def content_headers(lake: Lake) -> DataFrame:
     m = F.col("mime_type")
-    return lake.blobs.join(F.broadcast(lake.file_types), "file_type_id").select("blob_id", "mime_type", media.disposition(m).alias("disposition"), m.startswith("image/").alias("is_image"), (m == "application/pdf").alias("is_pdf"), media.image_output(m).alias("output_type"))
+    return lake.blobs.join(lake.file_types, "file_type_id").select("blob_id", "mime_type", media.disposition(m).alias("disposition"), m.startswith("image/").alias("is_image"), (m == "application/pdf").alias("is_pdf"), media.image_output(m).alias("output_type"))
 
 
 @query(f"SELECT s, CASE WHEN x <> '' THEN CAST(x AS BIGINT) * CASE u WHEN 'G' THEN 1073741824 WHEN 'M' THEN 1048576 WHEN 'K' THEN 1024 ELSE 1 END END AS bytes FROM (SELECT s, regexp_extract(upper(trim(s)), '^([+-]?[0-9]{{1,18}})\\s*(?:[GMK]B?)?$', 1) AS x, regexp_extract(upper(trim(s)), '([GMK])B?$', 1) AS u FROM {values(SIZES, 's')})", fixtures=False)

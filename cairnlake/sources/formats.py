@@ -81,7 +81,7 @@ def packed(payload: bytes, algorithm: str) -> bytes:
         import zstandard
 
         return zstandard.ZstdCompressor().compress(payload)
-    return {"gzip": lambda x: gzip.compress(x, mtime=0), "none": lambda x: x}[algorithm](payload)
+    return {"gzip": lambda x: gzip.compress(x, mtime=0), "bz2": bz2.compress, "none": lambda x: x}[algorithm](payload)
 
 
 def unpacked(payload: bytes, algorithm: str) -> bytes:
@@ -92,6 +92,24 @@ def unpacked(payload: bytes, algorithm: str) -> bytes:
     return {"gzip": gzip.decompress, "bz2": bz2.decompress, "none": lambda x: x}[algorithm](payload)
 
 
+def processed(content: Column, algorithm: str, hasher: str = "blake2b") -> Column:
+    """One pass over each content: a struct of its hash, its raw size and the packed bytes."""
+    new = {"blake2b": lambda: hashlib.blake2b(digest_size=32), "sha256": hashlib.sha256}[hasher]
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            if x is None:
+                rows.append((None, None, None))
+                continue
+            h = new()
+            h.update(x)
+            rows.append((h.hexdigest(), len(x), packed(x, algorithm)))
+        return pd.DataFrame(rows, columns=["hash", "size_raw", "packed"])
+
+    return F.pandas_udf(run, "hash string, size_raw bigint, packed binary")(content)
+
+
 def blake2b(content: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else hashlib.blake2b(x, digest_size=32).hexdigest())
