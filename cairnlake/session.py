@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,27 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none and is a single machine's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "cairnlake-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as a table in the shared folder; later reads don't need its ancestors.
-
-    A table rather than a checkpoint: a checkpoint keeps the constraints inferred for its plan, which grow without bound
-    in loops. The table goes when the driver's JVM ends.
-    """
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """(``df`` as a table in the shared folder, its path); the table goes when the driver's JVM ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder; later reads don't need its ancestors.
+
+    A table rather than a checkpoint: a checkpoint keeps the constraints inferred for its plan, which grow without bound
+    in loops.
+    """
+    return written(df)[0]
