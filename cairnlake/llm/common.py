@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnlake.session import cut, shared_dir  # noqa: F401
 
@@ -77,11 +78,29 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new.values()], [*keep, *new])
 
 
-def schema_with(df: DataFrame, new: str, drop: tuple[str, ...] = ()) -> str:
-    """The DDL of ``df`` followed by the columns of ``new`` ("name type, ...")."""
-    names = {x.split()[0].strip("`") for x in new.split(", ")}
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names and f.name not in drop]
-    return ", ".join([*own, new])
+def schema_with(df: DataFrame, new: str) -> StructType:
+    """The schema of ``df`` followed by the columns of ``new`` ("name type, ...")."""
+    return StructType([*df.schema, *StructType.fromDDL(new)])
+
+
+def enclosed(df: DataFrame, **own: str) -> DataFrame:
+    """``df`` with the columns ``own`` under the names given, and all others in one struct ``_rest``: no name can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own.values()]
+    chosen = [F.col(f"`{c}`").alias(n) for n, c in own.items()]
+    return df.select(*chosen, *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def opened(found: DataFrame, df: DataFrame, new: tuple[str, ...], **own: str) -> DataFrame:
+    """Rows that went through enclosed(): the columns of ``df``, less those that ``new`` names in any case, then ``new``."""
+    names, taken = {c: n for n, c in own.items()}, {n.lower() for n in new}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    columns = [F.col(names[c]).alias(c) if c in names else F.col("_rest").getField(c).alias(c) for c in kept]
+    return found.select(*columns, *new)
+
+
+def whole_ids(df: DataFrame, key: str) -> None:
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{key}: ids are whole numbers")
 
 
 def spans_of(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import WORD_SPACE, cut, read
+from cairnlake.llm.common import WORD_SPACE, cut, enclosed, opened, read
 
 #: The labelled rows that a list is fitted on, at most: those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -37,15 +37,14 @@ POS_BITS = 26
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of ``BASE``, and ``n_shouts`` (capitals A-Z and exclamation marks), over whole texts.
 
-    A null text counts as empty: all zero. Own columns named like the new ones are replaced; every row is kept.
+    A null text counts as empty: all zero. Own columns named like the new ones, in any case, are replaced; every row is
+    kept, repeated ones too, and an empty table stays empty. A text may have 2**26 words.
 
     Repeated 3-word windows: each window is packed as hash bits and position, the packed numbers are sorted, and
     neighbours of the same hash bits are compared as words.
     """
-    own = [c for c in docs.columns if c not in (*BASE, "n_shouts")]
     mask, space = (1 << POS_BITS) - 1, "\\t\\n\\x0b\\f\\r ".encode().decode("unicode_escape")
-    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    step = docs.select(*[F.col(f"`{c}`") for c in own], raw.alias("_text"))
+    step = enclosed(docs, _given=text).withColumn("_text", F.coalesce("_given", F.lit("")))
     step = step.withColumn("_trim", F.trim(F.col("_text"), F.lit(space)))
     step = step.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", WORD_SPACE)))
     step = step.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -62,8 +61,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("_spelt", F.expr(f"array_sort(transform(_near, x -> struct(concat_ws(' ', _w[int(x & {mask}L)], _w[int(x & {mask}L) + 1], _w[int(x & {mask}L) + 2]) as k, int(x & {mask}L) as p)))"))
     step = step.withColumn("_at", F.expr("sort_array(transform(filter(_spelt, (x, i) -> if(i > 0, _spelt[i - 1].k = x.k, false) or if(i + 1 < size(_spelt), _spelt[i + 1].k = x.k, false)), x -> x.p))"))
     gone = lambda pattern: (F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))).cast("long")
-    return step.select(
-        *[F.col(f"`{c}`") for c in own],
+    found = step.select(
+        *(c for c in ("_given", "_rest") if c in step.columns),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         gone(r"[#*$%&|<>]").alias("n_symbols"),
@@ -71,6 +70,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("cast(coalesce(aggregate(transform(_at, (p, i) -> if(i + 1 < size(_at), least(3, _at[i + 1] - p), 3)), 0, (a, x) -> a + x), 0) as bigint)").alias("n_repeat_words"),
         gone(r"[A-Z!]+").alias("n_shouts"),
     )
+    return opened(found, docs, (*BASE, "n_shouts"), _given=text)
 
 
 @dataclass
@@ -166,7 +166,7 @@ def learn(sampled: DataFrame) -> DecisionList:
 
 
 def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
-    """``stats`` with ``base_failed``, ``rule`` (the learned rule that rejects, null if none) and ``kept``."""
+    """``stats`` with ``base_failed``, ``rule`` (the learned rule that rejects, null if none) and ``kept``; own columns of these names are replaced."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.withColumn("base_failed", failed).withColumn("rule", rules.verdict())
     # the row number never is below 0: it only keeps filters on ``kept`` from being pushed below, which would repeat the statistics
@@ -174,7 +174,11 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` judged by a list learned from ``labels`` (doc_id, quality); without labelled rows only the base rule holds."""
+    """``docs`` judged by a list learned from ``labels`` (doc_id, quality); without labelled rows only the base rule holds.
+
+    Null texts fail the base rule; null ids and repeated rows are judged as any other, and the least label of an id counts;
+    clashing columns, long texts and empty tables as in statistics() and judge().
+    """
     return judge(statistics(docs), learn(sample(docs, labels)))
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ragged, read, schema_with, slices, text_bytes, tidy, with_columns
+from cairnlake.llm.common import enclosed, opened, ragged, read, schema_with, slices, text_bytes, tidy, with_columns
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -92,15 +92,16 @@ class Chunks:
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids`` (ids with begin and end, little-endian unsigned 32-bit) and ``decoded`` (their text).
 
-    A null or empty text has the begin and end ids only and decodes to an empty text. Repeated rows each keep their row,
-    an empty table gives an empty table, and own columns named like the new ones are replaced.
+    A null or empty text has the begin and end ids only and decodes to an empty text; long texts are encoded whole.
+    Repeated rows each keep their row, an empty table gives an empty table, and own columns named like the new ones, in
+    any case, are replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(model_path)
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
-                ids, off = chunks.encode(part.column(text))
+            for part in slices(batch, "_text", 1 << 20):
+                ids, off = chunks.encode(part.column("_text"))
                 decoded = chunks.sp.decode([ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)], num_threads=1)
                 packed = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield with_columns(part, {"piece_ids": packed, "decoded": pa.array(decoded, pa.string())})
@@ -108,7 +109,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
         chunks.clear()
         tidy()
 
-    return docs.mapInArrow(run, schema_with(docs, "piece_ids binary, decoded string"))
+    own = enclosed(docs, _text=text)
+    return opened(own.mapInArrow(run, schema_with(own, "piece_ids binary, decoded string")), docs, ("piece_ids", "decoded"), _text=text)
 
 
 def digest(encoded: DataFrame) -> DataFrame:

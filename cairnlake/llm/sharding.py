@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import read
+from cairnlake.llm.common import enclosed, opened, read
 
 #: A prime, at least a hundred times the number of shards; and the most that a table may have.
 SLOTS, MOST_SLOTS = 65_537, 1 << 20
@@ -52,12 +52,12 @@ def table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int = SLOT
 def placed(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with ``slot`` and ``shard`` of the column ``key``, read as text; a null key counts as an empty text.
 
-    Equal keys go to one shard, so a key of many rows wants a finer key (such as the row's id). Rows keep their rows; own
-    columns ``slot`` and ``shard`` are replaced.
+    Equal keys go to one shard, so a key of many rows wants a finer key (such as the row's id). Long keys are hashed whole;
+    repeated rows keep their rows; own columns ``slot`` and ``shard``, in any case, are replaced; an empty table stays
+    empty.
     """
-    keyed = df.drop(*[c for c in ("slot", "shard") if c in df.columns and c != key]).withColumn("_slot", number(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), 1) % slots)
-    out = keyed.join(F.broadcast(table(df.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))), "_slot")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    keyed = enclosed(df, _key=key).withColumn("slot", number(F.coalesce(F.col("_key").cast("string"), F.lit("")), 1) % slots)
+    return opened(keyed.join(F.broadcast(table(df.sparkSession, shards, slots)), "slot"), df, ("slot", "shard"), _key=key)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

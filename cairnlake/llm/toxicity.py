@@ -19,10 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import read, schema_with, slices, text_bytes, tidy, with_columns
+from cairnlake.llm.common import enclosed, opened, read, schema_with, slices, text_bytes, tidy, with_columns
 
-#: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes of doc_id.
-SAMPLE_ROWS = 2500
+#: Labelled rows of each class that the model is fitted on, at most: those of the smallest hashes of doc_id; one text of
+#: each id, and none of more bytes than this.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 1 << 16
+#: Marks that are put into words unseen or as one sign (soft hyphen, general punctuation, byte order mark): a gap of one.
+SIGNS = "[\u00ad\u2000-\u206f\ufeff]"
 DECAY, SPAN = 0.6, 7
 #: Longer words are scored as overlapping windows of so many characters, half a window apart.
 WIDTH = 24
@@ -132,6 +135,8 @@ class Machine:
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(all words of the texts, how many each text has)."""
     texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, SIGNS)).as_py():
+        texts = pc.replace_substring_regex(texts, SIGNS, ".")
     lone = pc.match_substring_regex(texts, LONE)
     if pc.any(lone).as_py():
         texts = pa.array([lone_joined(t) if hit else t for t, hit in zip(texts.to_pylist(), lone.to_pylist(), strict=True)], pa.string())
@@ -275,13 +280,18 @@ def machine_of(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine from at most ``rows`` labelled texts of each class, none of them held out; null labels don't count."""
+    """A machine from at most ``rows`` labelled texts of each class, none of them held out.
+
+    Null labels and null ids don't count; of rows that repeat an id one text is learned from; texts of more than
+    ``SAMPLE_BYTES`` are not.
+    """
     held = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = None
     for y in (0, 1):
         some = held.where(F.col("_toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.unionAll(some)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    got = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("_toxic").alias("_toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in got], [int(r["_toxic"]) for r in got])
 
@@ -289,20 +299,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier), over whole texts.
 
-    Null and empty texts, and texts without words, have the score of no match. Every row keeps its row; an empty table
-    gives an empty table; an own column ``score`` is replaced.
+    Null and empty texts, and texts without words, have the score of no match; long texts are read whole. Every row,
+    repeated or not, keeps its row; an empty table gives an empty table; an own column ``score``, in any case, is replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
         for batch in batches:
-            for part in slices(batch, text):
-                yield with_columns(part, {"score": pa.array(machine.curve(document_values(machine, part.column(text), known)))})
+            for part in slices(batch, "_text"):
+                yield with_columns(part, {"score": pa.array(machine.curve(document_values(machine, part.column("_text"), known)))})
             tidy()
         known.clear()
         tidy()
 
-    return docs.mapInArrow(run, schema_with(docs, "score double"))
+    own = enclosed(docs, _text=text)
+    return opened(own.mapInArrow(run, schema_with(own, "score double")), docs, ("score",), _text=text)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import lower_ascii, read
+from cairnlake.llm.common import enclosed, lower_ascii, opened, read
 
 #: (verdict, host, path): a rule fits its host, all subdomains, and paths that start with its own.
 RULES = (
@@ -140,13 +140,14 @@ def judge(pages: DataFrame, model: tuple[list[float], float], rules: Sequence[tu
     """``pages`` with host, path, rule (null if none fits), score and verdict: the rule's, else block from a score of 0.5.
 
     Null urls and urls without ``://`` have an empty host and path, which no rule fits; the regression judges them by its
-    bias and the n-grams of empty parts. Repeated rows keep their rows; own columns of the new names are replaced.
+    bias and the n-grams of empty parts. Long urls are read whole; repeated rows keep their rows; own columns of the new
+    names, in any case, are replaced; an empty table stays empty.
     """
-    host, path = parts(F.col(f"`{url}`"))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    out = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
+    host, path = parts(F.col("_url"))
+    out = enclosed(pages, _url=url).withColumns({"host": host, "path": path})
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    return score(out.withColumn("rule", rule), model).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))))
+    found = score(out.withColumn("rule", rule), model).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))))
+    return opened(found, pages, ("host", "path", "rule", "score", "verdict"), _url=url)
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Toxicity, SentencePiece, quality rules, URL filter, decontamination, sharding, quotation linking."""
 
+import math
 import random
 import zlib
 
@@ -64,7 +65,7 @@ def test_rules_without_labels(spark):
 def test_toxicity_on_held_out_rows(spark):
     found = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     toxic = [r for r in found if r["toxic"] == 1]
-    assert sum(r["predicted"] for r in toxic) > 0.6 * len(toxic)
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
     assert sum(r["predicted"] for r in found if r["toxic"] == 0) < 0.02 * len(found)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
 
@@ -76,9 +77,9 @@ def test_toxicity_gaps(spark):
     toxic = [i % 2 for i in range(200)]
     texts = [t.replace("relo", rng.choice(bad)) + f" {rng.choice(bad)}" if y else t for t, y in zip(texts, toxic, strict=True)]
     machine = toxicity.train(texts, toxic)
-    rows = [(1, "the blur.go of"), (2, "the s n a r f e l of"), (3, "the wretxchik and"), (4, "the of and"), (5, None), (6, ""), (7, "q" * 5000 + "blurgo" + "q" * 5000)]
+    rows = [(8, "the blur\u200bgo of"), (9, "the sn\u2022ar\u2013fel of"), (1, "the blur.go of"), (2, "the s n a r f e l of"), (3, "the wretxchik and"), (4, "the of and"), (5, None), (6, ""), (7, "q" * 5000 + "blurgo" + "q" * 5000)]
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), machine).collect()}
-    assert min(scores[k] for k in (1, 2, 3)) > max(scores[k] for k in (4, 5, 6))
+    assert min(scores[k] for k in (1, 2, 3, 8, 9)) > max(scores[k] for k in (4, 5, 6))
     assert all(0 <= s <= 1 for s in scores.values())
     assert toxicity.train(["a"], [0]).words([b"a"]).tolist() == [-1.0]
 
@@ -92,6 +93,18 @@ def test_url_rules(spark):
         assert r["verdict"] == ({"com/en/": "block", "example.com/en/7": "allow", "org/es/": "block", "example.net/de/8": "block"}.get(r["rule"]) or ("block" if r["score"] >= 0.5 else "allow"))
 
 
+def test_url_regression_on_held_out_rows(spark):
+    """Each fifth of the labelled URLs, judged by what the rest teaches."""
+    right = 0
+    for fold in range(5):
+        rest = [r for i, r in enumerate(url_filter.LABELLED) if i % 5 != fold]
+        held = [(i, *r) for i, r in enumerate(url_filter.LABELLED) if i % 5 == fold]
+        model = url_filter.train(spark.createDataFrame(rest, "url string, block int"))
+        judged = url_filter.judge(spark.createDataFrame(held, "page_id int, url string, block int"), model).collect()
+        right += sum((r["score"] >= 0.5) == bool(r["block"]) for r in judged)
+    assert right >= 0.8 * len(url_filter.LABELLED)
+
+
 def test_url_regression(spark):
     model = url_filter.train(spark.createDataFrame([*url_filter.LABELLED], "url string, block int"))
     right = [r["score"] >= 0.5 for r in url_filter.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(url_filter.LABELLED)], "page_id int, url string"), model).orderBy("page_id").collect()]
@@ -147,6 +160,75 @@ def test_null_item_ids(spark, monkeypatch, tmp_path, block):
     assert [r["text"] for r in cleaned.orderBy("doc_id").collect()] == [" and ", "a  b", "none"]
 
 
+def test_sharding_fill(spark):
+    """The table and the placement by MD5 digests in plain Python."""
+    import hashlib
+
+    digits = lambda x, a: int(hashlib.md5(x.encode()).hexdigest()[a : a + 8], 16)
+    names, slots = sorted(f"s{k}" for k in range(5)), 101
+    order = {n: [(digits(n, 0) % slots + j * (digits(n, 8) % (slots - 1) + 1)) % slots for j in range(slots)] for n in names}
+    held = {}
+    while len(held) < slots:
+        for n in names:
+            if len(held) < slots:
+                held[next(x for x in order[n] if x not in held)] = n
+    assert {r["slot"]: r["shard"] for r in sharding.table(spark, names, slots).collect()} == held
+    rows = spark.createDataFrame([("a",), ("",), (None,), ("é x",)], "k string")
+    for r in sharding.placed(rows, "k", names, slots).collect():
+        assert r["slot"] == digits(r["k"] or "", 0) % slots and r["shard"] == held[r["slot"]]
+
+
+def covering(rows, features):
+    """Sequential covering in plain Python: (feature, op, threshold) conjunctions from rows of (values, bad, grow)."""
+    cuts = {}
+    for n in features:
+        found = set()
+        for y in (True, False):
+            values = sorted(v[n] for v, bad, _ in rows if bad == y)
+            found |= {values[max(0, math.ceil(k / quality_rules.QUANTILES * len(values)) - 1)] for k in range(1, quality_rules.QUANTILES)} if values else set()
+        cuts[n] = sorted(found)
+    fits = lambda v, rule: all(v[n] <= t if op == "<=" else v[n] > t for n, op, t in rule)
+    rest, rules = list(rows), []
+    while len(rules) < quality_rules.MAX_RULES:
+        rule = []
+        while len(rule) < quality_rules.MAX_CONDITIONS:
+            now = [(v, bad) for v, bad, grow in rest if grow and fits(v, rule)]
+            p0, n0 = sum(b for _, b in now), sum(not b for _, b in now)
+            if not p0 or rule and not n0:
+                break
+            best = (0.0, None)
+            for n in features:
+                for t in cuts[n]:
+                    for op in ("<=", ">"):
+                        p, m = (sum(b == y for v, b in now if fits(v, [(n, op, t)])) for y in (True, False))
+                        gain = p * (math.log2((p + 1) / (p + m + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2))) if p else 0.0
+                        best = max(best, (gain, (n, op, t)), key=lambda x: x[0])
+            if best[1] is None or best[0] <= 1e-9:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+        later = [(v, bad) for v, bad, grow in rest if not grow]
+        met = [[bad for v, bad in later if fits(v, rule[:k])] for k in range(1, len(rule) + 1)]
+        score = [round((sum(x) - sum(not b for b in x)) / max(1, len(x)), 3) for x in met]
+        keep = max(range(len(rule)), key=lambda k: (score[k], -k))
+        if len(met[keep]) < quality_rules.MIN_COVER or sum(met[keep]) / len(met[keep]) < quality_rules.MIN_PRECISION:
+            break
+        rules.append(rule[: keep + 1])
+        rest = [r for r in rest if not fits(r[0], rules[-1])]
+    return rules
+
+
+def test_rules_by_covering(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    sampled = quality_rules.sample(docs, labels).cache()
+    values = [F.expr(e).alias(n) for n, e in quality_rules.FEATURES.items()]
+    grow = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow")
+    rows = [({n: float(r[n]) for n in quality_rules.FEATURES}, r["bad"], r["grow"]) for r in sampled.select(*values, "bad", grow).collect()]
+    want = covering(rows, [*quality_rules.FEATURES])
+    assert want and quality_rules.learn(sampled).rules == want
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(7)]
     held = {r["slot"]: r["shard"] for r in sharding.table(spark, names, 503).collect()}
@@ -168,6 +250,11 @@ def test_quotes(spark):
     got = {(r["conv_id"], r["turn"], r["text"]): (r["n_quoted"], r["parent"], r["root"], r["depth"], r["body"]) for r in quote_linking.linked(df).collect()}
     want = [(0, None, 0, 0), (1, 0, 0, 1), (2, 1, 0, 2), (2, 2, 0, 3), (0, None, 4, 0), (0, None, 4, 0), (2, None, 0, 0), (1, 0, 0, 1), (2, 1, 0, 2), (1, None, 0, 0), (1, None, None, 0)]
     assert [got[r][:4] for r in rows] == want
+    threads = {(r["conv_id"], r["turn"], r["text"]): r["thread"] for r in quote_linking.linked(df).collect()}
+    assert [threads[r] for r in rows] == [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3], [4], [4], [0], [0, 1], [0, 1, 2], [0], [None]]
+    branches = [(3, 0, "start of it"), (3, 1, "> start of it\nleft"), (3, 2, "> start of it\nright"), (3, 3, "> left\nleft again"), (3, 4, "other"), (3, 5, "> right\nright again")]
+    ordered = quote_linking.conversations(spark.createDataFrame(branches, "conv_id bigint, turn bigint, text string").repartition(3))
+    assert [(r["turn"], r["text"]) for r in ordered.collect()] == [(0, "start of it"), (1, "left"), (3, "left again"), (2, "right"), (5, "right again"), (4, "other")]
     assert got[rows[1]][4] == "Hi!\n\nFine thanks." and got[rows[2]][4] == "Nice"
     chain = [(9, 0, "m0")] + [(9, k, f"> m{k - 1}\nm{k}") for k in range(1, 40)]
     far = quote_linking.linked(spark.createDataFrame(chain, "conv_id bigint, turn bigint, text string")).collect()
