@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ALNUM, LOWER, packed, ragged, read, schema_with, slices, spans_of, text_bytes, tidy, with_columns
+from cairnlake.llm.common import ALNUM, LOWER, cut, enclosed, opened, packed, ragged, read, schema_with, slices, spans_of, text_bytes, tidy, with_columns
 
 WINDOW = 10
 #: Bytes of test items that one pass over the documents searches for; more items make more passes.
@@ -185,25 +185,30 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", cleaned: bool =
     """``docs`` with n_words, n_hit (words inside occurrences), items (ids of the items met, sorted as strings).
 
     With ``cleaned``, the text itself loses every maximal run of hit words, from its first byte to its last. Null texts
-    have no words and stay null. Items of null ids are searched as any other and make one null at the end of the ids, which
-    counts as an item, as in the SQL; items without words occur nowhere. Rows keep their rows, empty tables give no hits,
-    own columns named like the new ones are replaced.
+    have no words and stay null; long texts are searched whole. Items of null ids are searched as any other and make one
+    null at the end of the ids, which counts as an item, as in the SQL; items without words occur nowhere. Rows that
+    repeat an item's id count once. Rows keep their rows, empty tables give no hits, own columns named like the new ones,
+    in any case, are replaced.
+
+    Items beyond ``BLOCK_BYTES`` are searched block by block, each pass over the table that the one before wrote: driver
+    and workers hold the phrases of one block at a time.
     """
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    spark, out = docs.sparkSession, docs
-    schema = schema_with(docs, "n_words bigint, _hit binary, items array<string>")
+    own = out = enclosed(docs, _text=text)
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or ""))
-        held = spark.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        last = k == blocks - 1
-        out = out.mapInArrow(pass_over(held, text, k == 0, finish(text, cleaned) if last else None), schema_with(docs, "n_words bigint, n_hit bigint, items array<string>") if last else schema)
-    return out
+        held = docs.sparkSession.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        if k < blocks - 1:
+            out = cut(out.mapInArrow(pass_over(held, k == 0), schema_with(own, "n_words bigint, hit binary, items array<string>")))
+            held.destroy()
+    done = out.mapInArrow(pass_over(held, blocks == 1, finish(cleaned)), schema_with(own, "n_words bigint, n_hit bigint, items array<string>"))
+    return opened(done, docs, ("n_words", "n_hit", "items"), _text=text)
 
 
-def pass_over(held, text: str, first_pass: bool, last=None):
+def pass_over(held, first_pass: bool, last=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = searched(batches)
         yield from last(found) if last else found
@@ -211,8 +216,8 @@ def pass_over(held, text: str, first_pass: bool, last=None):
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = held.value
         for batch in batches:
-            for part in slices(batch, text, SHARD_BYTES):
-                words, _, _, first = words_of(part.column(text))
+            for part in slices(batch, "_text", SHARD_BYTES):
+                words, _, _, first = words_of(part.column("_text"))
                 cover = np.zeros(len(words) + 1, np.int64)
                 pairs = [np.zeros((0, 2), np.int64)]
                 for at, window in occurrences(phrases, words, first):
@@ -228,33 +233,33 @@ def pass_over(held, text: str, first_pass: bool, last=None):
                 cuts = np.searchsorted(pairs[:, 0], np.arange(part.num_rows + 1))
                 found_items = [phrases.ids[pairs[a:b, 1]].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
                 if not first_pass:
-                    before = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in part.column("_hit")), np.uint8))
+                    before = np.unpackbits(np.frombuffer(b"".join(x.as_py() for x in part.column("hit")), np.uint8))
                     sizes = -(-np.diff(first) // 8) * 8
                     hit |= before[ragged(np.cumsum(sizes) - sizes, np.diff(first))] > 0
                     found_items = [in_order([*x, *y]) for x, y in zip(found_items, part.column("items").to_pylist(), strict=True)]
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield with_columns(part, {"n_words": pa.array(np.diff(first), pa.int64()), "_hit": pa.array(bits, pa.binary()), "items": pa.array(found_items, pa.list_(pa.string()))})
+                yield with_columns(part, {"n_words": pa.array(np.diff(first), pa.int64()), "hit": pa.array(bits, pa.binary()), "items": pa.array(found_items, pa.list_(pa.string()))})
         tidy()
 
     return run
 
 
-def finish(text: str, cleaned: bool):
+def finish(cleaned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, hits = batch.column(text), []
+            texts, hits = batch.column("_text"), []
             fresh = texts.to_pylist() if cleaned else None
-            for i, (bits, n) in enumerate(zip(batch.column("_hit").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
+            for i, (bits, n) in enumerate(zip(batch.column("hit").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
                 hit = np.unpackbits(np.frombuffer(bits, np.uint8))[:n] > 0
                 hits.append(int(hit.sum()))
                 if cleaned and hits[-1]:
                     fresh[i] = without(texts.slice(i, 1), hit)
             new = {"n_words": batch.column("n_words"), "n_hit": pa.array(hits, pa.int64()), "items": batch.column("items")}
             if cleaned:
-                at = batch.schema.get_field_index(text)
+                at = batch.schema.get_field_index("_text")
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(fresh, texts.type))
             out = with_columns(batch, new)
-            yield out.select([c for c in out.schema.names if c != "_hit"])
+            yield out.select([c for c in out.schema.names if c != "hit"])
 
     return run
 
