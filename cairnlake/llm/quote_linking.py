@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import cut, lower_ascii, read
+from cairnlake.llm.common import cut, enclosed, lower_ascii, opened, read
 
 #: Separate runs, and a run's level from its text; taken out of texts first.
 RUN, LEVEL = "\x1e", "\x1f"
@@ -21,9 +21,9 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower_ascii(text), r"[\x20\x09-\x0D]+", " "))
 
 
-def parsed(messages: DataFrame, text: str) -> DataFrame:
+def parsed(messages: DataFrame) -> DataFrame:
     """``messages`` with body (the unquoted lines), n_quoted (quoted lines) and _runs ("level LEVEL text")."""
-    lines = F.split(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), RUN + LEVEL, "  "), "\n")
+    lines = F.split(F.translate(F.coalesce("_text", F.lit("")), RUN + LEVEL, "  "), "\n")
     out = messages.withColumn("_lines", F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(?:[ \t]*>)*", 0).alias("mark"), x.alias("line"))))
     level = "length(regexp_replace(x.mark, '[^>]', ''))"
     out = out.withColumn("_lines", F.expr(f"transform(_lines, x -> struct({level} as level, if(x.mark = '', x.line, substring(x.line, length(x.mark) + 1)) as line))"))
@@ -40,19 +40,20 @@ def hashed(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """``messages`` with body, n_quoted, parent (the turn replied to, null if none is found), root, depth.
+    """``messages`` with body, n_quoted, parent (the turn replied to, null if none is found), root, depth and thread.
 
-    Sorted by conversation, root, depth and turn, a conversation is in reply order. A null text has an empty body; a
-    message of null conversation or turn links with nothing, and its root is its own turn. Of rows that repeat a turn each
-    keeps its row and its own quotes; the turn's replies count once. Own columns of the new names are replaced.
+    ``thread`` lists the turns from the root to the message; sorted by conversation and thread, a conversation is in reply
+    order: each message before its replies, and these together. A null text has an empty body; a message of null
+    conversation or turn links with nothing, and its root is its own turn. Of rows that repeat a turn each keeps its row
+    and its own quotes; the turn's replies count once. Long texts are read whole; own columns of the new names, in any
+    case, are replaced; an empty table stays empty.
     """
-    own = [c for c in messages.columns if c not in ("body", "n_quoted", "parent", "root", "depth")]
-    step = parsed(messages.select(*[F.col(f"`{c}`") for c in own]), text)
-    keyed = step.where(F.col(f"`{conv}`").isNotNull() & F.col(f"`{turn}`").isNotNull()).select(F.col(f"`{conv}`").alias("_c"), F.col(f"`{turn}`").cast("long").alias("_t"), "body", "_runs", "n_quoted")
+    step = parsed(enclosed(messages, _conv=conv, _turn=turn, _text=text))
+    keyed = step.where("_conv is not null and _turn is not null").select(F.col("_conv").alias("_c"), F.col("_turn").cast("long").alias("_t"), "body", "_runs", "n_quoted")
 
     quoting = keyed.where("n_quoted > 0")
-    runs = quoting.select("_c", "_t", F.explode("_runs").alias("_run")).where("_run <> ''").select("_c", "_t", F.substring_index("_run", LEVEL, 1).cast("int").alias("level"), F.expr(f"substring(_run, instr(_run, '{LEVEL}') + 1)").alias("_text")).where("level > 0")
-    units = F.array_union(F.array("_text"), F.split("_text", "\n"))
+    runs = quoting.select("_c", "_t", F.explode("_runs").alias("_run")).where("_run <> ''").select("_c", "_t", F.substring_index("_run", LEVEL, 1).cast("int").alias("level"), F.expr(f"substring(_run, instr(_run, '{LEVEL}') + 1)").alias("_said")).where("level > 0")
+    units = F.array_union(F.array("_said"), F.split("_said", "\n"))
     quoted = hashed(runs.select("_c", "_t", "level", F.explode(units).alias("_unit")), "_c", "_t", "level").distinct()
 
     says = keyed.join(quoting.select("_c").distinct(), "_c", "left_semi")
@@ -61,22 +62,32 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
 
     found = quoted.join(first, ["_c", "key"]).where("_from < _t")
     links = cut(found.groupBy("_c", "_t").agg(F.max_by("_from", F.struct(-F.col("level"), "size", "_from")).alias("_parent")))
-    at = links.select("_c", "_t", "_parent", F.col("_parent").alias("_root"), F.lit(1).cast("long").alias("_depth"))
+    at = links.select("_c", "_t", "_parent", F.col("_parent").alias("_root"), F.lit(1).cast("long").alias("_depth"), F.array("_parent", "_t").alias("_path"))
     while True:  # roots, by jumping twice as far each time
-        far = at.select("_c", F.col("_t").alias("_root"), F.col("_root").alias("_far"), F.col("_depth").alias("_more"))
-        at = cut(at.join(far, ["_c", "_root"], "left").select("_c", "_t", "_parent", F.coalesce("_far", "_root").alias("_root"), (F.col("_depth") + F.coalesce("_more", F.lit(0))).alias("_depth"), F.col("_far").isNotNull().alias("_moved")))
+        far = at.select("_c", F.col("_t").alias("_root"), F.col("_root").alias("_far"), F.col("_depth").alias("_more"), F.col("_path").alias("_before"))
+        path = F.when(F.col("_far").isNull(), F.col("_path")).otherwise(F.concat("_before", F.slice("_path", 2, F.size("_path"))))
+        at = cut(at.join(far, ["_c", "_root"], "left").select("_c", "_t", "_parent", F.coalesce("_far", "_root").alias("_root"), (F.col("_depth") + F.coalesce("_more", F.lit(0))).alias("_depth"), path.alias("_path"), F.col("_far").isNotNull().alias("_moved")))
         if at.where("_moved").isEmpty():
             break
         at = at.drop("_moved")
-    held = at.select(F.col("_c").alias("_lc"), F.col("_t").alias("_lt"), "_parent", "_root", "_depth")
-    out = step.join(held, (F.col(f"`{conv}`") == F.col("_lc")) & (F.col(f"`{turn}`") == F.col("_lt")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in own], "body", "n_quoted", F.col("_parent").alias("parent"), F.coalesce("_root", F.col(f"`{turn}`").cast("long")).alias("root"), F.coalesce("_depth", F.lit(0)).cast("long").alias("depth"))
+    held = at.select("_c", "_t", F.col("_parent").alias("parent"), "_root", "_depth", "_path")
+    own = F.col("_turn").cast("long")
+    out = step.join(held, (F.col("_conv") == F.col("_c")) & (own == F.col("_t")), "left")
+    found = out.withColumns({"root": F.coalesce("_root", own), "depth": F.coalesce("_depth", F.lit(0)).cast("long"), "thread": F.coalesce("_path", F.array(own))})
+    return opened(found, messages, ("body", "n_quoted", "parent", "root", "depth", "thread"), _conv=conv, _turn=turn, _text=text)
+
+
+def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """The messages in reply order, ``text`` without the quotes; a sort over ranges, so that no conversation is gathered."""
+    found = linked(messages, conv, turn, text)
+    return found.withColumn(text, F.col("body")).sort(conv, "thread", turn).select(*messages.columns, *(c for c in ("parent", "depth", "thread") if c not in messages.columns))
 
 
 def op4_quote_linking(spark, sf_dir: str) -> DataFrame:
-    """Every message of ``conversations`` with its place in reply order, as digests of its body."""
+    """Every message of ``conversations`` with its place in reply order (``thread``), and a digest of its body."""
     found = linked(read(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "role", "n_quoted", "parent", "root", "depth", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+    thread = F.array_join(F.col("thread").cast("array<string>"), "/")
+    return found.select("conv_id", "turn", "role", "n_quoted", "parent", "root", "depth", thread.alias("thread"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 NORMAL = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
@@ -92,9 +103,9 @@ quoted AS (SELECT DISTINCT conv_id, turn, level, {NORMAL.format("unit")} AS key
 units AS (SELECT conv_id, turn, body AS unit FROM bodies UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n[ \t]*\n')) FROM bodies UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM bodies),
 first AS (SELECT conv_id, {NORMAL.format("unit")} AS key, min(turn) AS came FROM units GROUP BY ALL),
 links AS (SELECT q.conv_id, q.turn, arg_max(came, (-level, len(key), came)) AS parent FROM quoted q JOIN first f USING (conv_id, key) WHERE came < q.turn AND key <> '' GROUP BY ALL),
-chain AS (SELECT conv_id, turn, parent, parent AS root, 1 AS depth FROM links
-          UNION ALL SELECT c.conv_id, c.turn, c.parent, l.parent, depth + 1 FROM chain c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.root),
-roots AS (SELECT conv_id, turn, any_value(parent) AS parent, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY conv_id, turn)
-SELECT m.conv_id, m.turn, m.role, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(r.parent AS BIGINT) AS parent, CAST(coalesce(r.root, m.turn) AS BIGINT) AS root, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, sha256(body) AS body_sha256
+chain AS (SELECT conv_id, turn, parent, parent AS root, 1 AS depth, [parent, turn] AS path FROM links
+          UNION ALL SELECT c.conv_id, c.turn, c.parent, l.parent, depth + 1, list_prepend(l.parent, c.path) FROM chain c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.root),
+roots AS (SELECT conv_id, turn, any_value(parent) AS parent, arg_max(root, depth) AS root, max(depth) AS depth, arg_max(path, depth) AS path FROM chain GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(r.parent AS BIGINT) AS parent, CAST(coalesce(r.root, m.turn) AS BIGINT) AS root, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, array_to_string(coalesce(r.path, [m.turn]), '/') AS thread, sha256(body) AS body_sha256
 FROM m JOIN bodies b USING (id) LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
 """
