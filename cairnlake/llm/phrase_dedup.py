@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import ragged, read, schema_with, with_columns
+from cairnlake.llm.common import enclosed, opened, ragged, read, schema_with, whole_ids, with_columns
 from cairnlake.llm.winnow import Plan, Units, bucket_of, candidates, dealt, distinct, groups, hashes, ids_of, plan_for, shard_passages
 
 WINDOW, GRAM = 20, 8
@@ -23,22 +23,22 @@ AUTOMATON_WORDS = 2_000_000
 ENTRY = (("anchor", "<u8"), ("id", "<i8"), ("start", "<i4"), ("at", "<i4"), ("count", "u1"), ("times", "u1"))
 
 
-def in_order(docs: pa.Table, key: str, text: str) -> pa.Table:
+def in_order(docs: pa.Table) -> pa.Table:
     """A shard's rows in one fixed order: by id (nulls last), then text."""
-    return docs.take(pc.sort_indices(docs, sort_keys=[(key, "ascending"), (text, "ascending")]))
+    return docs.take(pc.sort_indices(docs, sort_keys=[("_id", "ascending"), ("_text", "ascending")]))
 
 
-def passage_rows(plan: Plan, key: str, text: str):
+def passage_rows(plan: Plan):
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
-        docs = in_order(docs, key, text)
+        docs = in_order(docs)
         rows = []
         if docs.num_rows and anchors.num_rows:
-            units, found = shard_passages(docs, anchors, plan, text)
+            units, found = shard_passages(docs, anchors, plan)
             _, at, times = distinct(found, plan)
             order = np.argsort(bucket_of(found.anchor[at], plan.buckets), kind="stable")
             at, times = at[order], times[order]
             some = found.pick(at)
-            fields = {"anchor": some.anchor, "id": ids_of(docs, key)[some.text], "start": some.start - units.off[some.text], "at": some.start, "count": some.count, "times": np.minimum(times, 2)}
+            fields = {"anchor": some.anchor, "id": ids_of(docs)[some.text], "start": some.start - units.off[some.text], "at": some.start, "count": some.count, "times": np.minimum(times, 2)}
             first = ragged(some.start, some.count)
             window = hashes(found.prefix, first, first + plan.window)
             upto = np.concatenate([[0], np.cumsum(some.count)])
@@ -115,10 +115,10 @@ def locate(codes: np.ndarray, off: np.ndarray, at: np.ndarray, lens: np.ndarray)
     return np.array(begins, np.int64) - lens[which], which
 
 
-def stream(plan: Plan, key: str, text: str):
+def stream(plan: Plan):
     def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
-        docs = in_order(docs, key, text)
-        units = Units.of(docs[text], True)
+        docs = in_order(docs)
+        units = Units.of(docs["_text"], True)
         words, off = units.strings(), units.off
         gone = np.zeros(len(words) + 1, np.int64)
         if passages.num_rows and len(words):
@@ -132,7 +132,7 @@ def stream(plan: Plan, key: str, text: str):
             flat = ragged(upto[which], many)
             window = np.repeat(begins, many) + place
             doc = np.searchsorted(off, window, side="right") - 1
-            own_id, own_start = ids_of(docs, key)[doc], window - off[doc]
+            own_id, own_start = ids_of(docs)[doc], window - off[doc]
             earlier = (first_id[flat] < own_id) | (first_id[flat] == own_id) & (first_start[flat] + place < own_start)
             window = np.unique(window[earlier])
             gone[window] += 1
@@ -152,16 +152,20 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     """``docs`` with n_words, n_removed and kept (the words that stay, joined by one space).
 
     A word goes if a window of ``window`` words that covers it also starts earlier: in a row of smaller id, or earlier in
-    a row of the same id. Null ids come after all others; null texts have no words; of rows that repeat an id and a text
-    none is earlier than the other. Own columns named like the new ones are replaced; empty tables stay empty.
+    a row of the same id. Ids are whole numbers; null ids come after all others; null texts have no words, and long ones
+    of any length are read whole; of rows that repeat an id and a text none is earlier than the other. Own columns named
+    like the new ones, in any case, are replaced; empty tables stay empty.
     """
-    plan = plan_for(docs, text, window, min(GRAM, window), True, False)
-    rows = dealt(docs, plan, key, text)
+    whole_ids(docs, key)
+    own = enclosed(docs, _id=key, _text=text)
+    plan = plan_for(own, window, min(GRAM, window), True, False)
+    rows = dealt(own, plan)
     lean = rows.groupBy("_shard")
-    anchors = candidates(rows, plan, text)
-    found = lean.cogroup(anchors.groupBy("_shard")).applyInArrow(passage_rows(plan, key, text), PASSAGE_SCHEMA)
+    anchors = candidates(rows, plan)
+    found = lean.cogroup(anchors.groupBy("_shard")).applyInArrow(passage_rows(plan), PASSAGE_SCHEMA)
     known = found.groupBy("bucket").applyInArrow(confirmed, CONFIRMED_SCHEMA)
-    return lean.cogroup(known.groupBy("_shard")).applyInArrow(stream(plan, key, text), schema_with(docs, "n_words bigint, n_removed bigint, kept string"))
+    done = lean.cogroup(known.groupBy("_shard")).applyInArrow(stream(plan), schema_with(own, "n_words bigint, n_removed bigint, kept string"))
+    return opened(done, docs, ("n_words", "n_removed", "kept"), _id=key, _text=text)
 
 
 def op7_phrase_dedup(spark, sf_dir: str) -> DataFrame:

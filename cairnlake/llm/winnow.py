@@ -22,12 +22,14 @@ from cairnlake.llm.common import GAP, packed, slices, spans_of, text_bytes, tidy
 #: Bytes of text in a shard, and of text whose anchors make a bucket, on average; and the least number of either.
 SHARD_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 8 << 20, 64
 SLICE_BYTES = 2 << 20
-#: A text may have so many units.
-PLACE_BITS = 28
+#: Units that are hashed at a time, as the processor's cache holds them; and the bits of a place among them.
+STRETCH, PLACE_BITS = 1 << 15, 28
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 LAST_ID = np.int64(2**63 - 1)
 BASE, TABLE = np.uint64(0x9E3779B97F4A7C15 | 1), np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+#: Multipliers of the words of a hash.
+FACTORS = [np.uint64(x) for x in np.random.default_rng(12).integers(1, 2**63, 24, dtype=np.uint64) | np.uint64(1)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -62,17 +64,57 @@ def hashes(prefix: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((prefix[ends] - prefix[begins]) * powers(len(prefix))[1][begins] + (ends - begins).astype(np.uint64))
 
 
-def rolling(prefix: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all stretches of one size."""
-    n = len(prefix) - size
-    return mix((prefix[size:] - prefix[:n]) * powers(len(prefix))[1][:n] + np.uint64(size)) if n > 0 else np.zeros(0, np.uint64)
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; places behind the data read zeros."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+
+
+def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of ``size`` bytes, read eight bytes at a time."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    words = words_at(data)
+    if size < 8:
+        total = (words[:n] & np.uint64((1 << 8 * size) - 1)) * BASE
+    else:
+        total = words[:n] * BASE
+        for k, at in enumerate([*range(8, size - 8, 8), size - 8] if size > 8 else []):
+            total ^= total >> np.uint64(31)
+            total += words[at : at + n] * FACTORS[k % len(FACTORS)]
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(29)
+    return total
+
+
+def contents(words: np.ndarray, begins: np.ndarray, lens: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Hashes of the stretches of bytes [begin, begin + len) of ``least`` (8 or more) to ``most``, from words_at() of the data."""
+    total = lens.astype(np.uint64) * BASE
+    heads = [*range(0, least - 7, 8)]
+    places = [(begins, at) for at in heads]
+    ends = begins + lens
+    places += [(ends, -back) for back in range(8, most - len(heads) * 8 + 8, 8)]
+    for k, (at, shift) in enumerate(places):
+        total ^= total >> np.uint64(31)
+        total += words[at + shift] * FACTORS[k % len(FACTORS)]
+        total *= BASE
+    return mix(total)
+
+
+def rolling(prefix: np.ndarray, size: int, a: int, b: int) -> np.ndarray:
+    """Hashes of all stretches of one size among the symbols [a, b)."""
+    n = b - a - size + 1
+    return mix((prefix[a + size : b + 1] - prefix[a : a + n]) * powers(len(prefix))[1][a : a + n] + np.uint64(size))
 
 
 @dataclass
 class Units:
-    """The units of a column of texts: symbols (hashes), the texts' first units, and for words their spans in the bytes."""
+    """The units of a column of texts: the texts' first units, and for words their hashes and their spans in the bytes."""
 
-    symbols: np.ndarray
+    symbols: np.ndarray | None
     off: np.ndarray
     data: np.ndarray
     begins: np.ndarray | None = None
@@ -82,7 +124,7 @@ class Units:
     def of(col: pa.Array, words: bool) -> Units:
         data, off = text_bytes(col)
         if not words:
-            return Units(TABLE[data], off, data)
+            return Units(None, off, data)
         begins, ends, first = spans_of(~GAP[data], off)
         return Units(hashes(sums(TABLE[data]), begins, ends), first, data, begins, ends)
 
@@ -92,32 +134,28 @@ class Units:
 
 @dataclass
 class Passages:
-    """Passages in the order of the units: the anchor's hash, the first of its windows, how many, and the text's number."""
+    """Passages in the order of the units: the anchor's hash, the first of its windows, how many, the text's number, and the anchor's place."""
 
     anchor: np.ndarray
     start: np.ndarray
     count: np.ndarray
     text: np.ndarray
-    prefix: np.ndarray
+    place: np.ndarray
+    prefix: np.ndarray | None
 
     @staticmethod
     def of(units: Units, window: int, gram: int) -> Passages:
-        n = len(units.symbols)
-        if n >> PLACE_BITS:
-            raise ValueError(f"more than {1 << PLACE_BITS} units in one text")
-        prefix = sums(units.symbols)
+        n = int(units.off[-1])
+        prefix = None if units.symbols is None else sums(units.symbols)
         none = np.zeros(0, np.int64)
         if n < window:
-            return Passages(none.astype(np.uint64), none, none, none, prefix)
-        hashed = rolling(prefix, gram)
-        least = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
-        size, width = 1, window - gram + 1
-        while 2 * size <= width:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if width > size:
-            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        owner = (least & PLACE).astype(np.int64)
+            return Passages(none.astype(np.uint64), none, none, none, none, prefix)
+        hashed, owner = np.empty(n - gram + 1, np.uint64), np.empty(n - window + 1, np.int32 if n < 2**31 else np.int64)
+        for a in range(0, n - window + 1, STRETCH):  # a stretch at a time, with the units behind that its last windows need
+            b = min(a + STRETCH, n - window + 1)
+            part = byte_grams(units.data[a : b + window - 1], gram) if prefix is None else rolling(prefix, gram, a, b + window - 1)
+            hashed[a : a + len(part)] = part
+            owner[a:b] = Passages.least(part, window, gram) + np.int64(a)
         inside = np.ones(n + 1, bool)
         tails = units.off[1:]
         for back in range(1, window):  # windows that would cross a text's end
@@ -129,10 +167,22 @@ class Passages:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | (owner[1:] != owner[:-1])
         start = np.flatnonzero(new)
-        return Passages(hashed[owner[start]], start, np.flatnonzero(last) + 1 - start, np.searchsorted(units.off, start, side="right") - 1, prefix)
+        return Passages(hashed[owner[start]], start, np.flatnonzero(last) + 1 - start, np.searchsorted(units.off, start, side="right") - 1, owner[start].astype(np.int64), prefix)
+
+    @staticmethod
+    def least(hashed: np.ndarray, window: int, gram: int) -> np.ndarray:
+        """The place of the least gram in each window."""
+        least = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
+        size, width = 1, window - gram + 1
+        while 2 * size <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if width > size:
+            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+        return (least & PLACE).astype(np.int64)
 
     def pick(self, at: np.ndarray) -> Passages:
-        return Passages(self.anchor[at], self.start[at], self.count[at], self.text[at], self.prefix)
+        return Passages(self.anchor[at], self.start[at], self.count[at], self.text[at], self.place[at], self.prefix)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -178,22 +228,27 @@ class Plan:
     buckets: int
     across: bool  # only windows of two texts count, not those of one
 
+    @property
+    def lengths(self) -> tuple[int, int]:
+        """The units of the shortest and the longest passage."""
+        return self.window, 2 * self.window - self.gram
+
 
-def plan_for(docs: DataFrame, text: str, window: int, gram: int, words: bool, across: bool, bucket_bytes: int = BUCKET_BYTES) -> Plan:
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
+def plan_for(docs: DataFrame, window: int, gram: int, words: bool, across: bool, bucket_bytes: int = BUCKET_BYTES) -> Plan:
+    size = docs.agg(F.sum(F.octet_length("_text").cast("long")).alias("b")).first()["b"] or 0
     return Plan(window, gram, words, max(LEAST, -(-size // SHARD_BYTES)), max(LEAST, -(-size // bucket_bytes)), across)
 
 
-def dealt(docs: DataFrame, plan: Plan, key: str, text: str) -> DataFrame:
-    """(_shard, _id, _text and what else the caller selects)."""
-    return docs.withColumn("_shard", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(plan.shards)).cast("int"))
+def dealt(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Rows of _id and _text with their _shard; rows that share an id are dealt apart by their texts."""
+    return docs.withColumn("_shard", F.pmod(F.xxhash64("_id", "_text"), F.lit(plan.shards)).cast("int"))
 
 
-def anchor_rows(plan: Plan, text: str) -> Callable:
+def anchor_rows(plan: Plan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE_BYTES):
-                found = Passages.of(Units.of(part.column(text), plan.words), plan.window, plan.gram)
+            for part in slices(batch, "_text", SLICE_BYTES):
+                found = Passages.of(Units.of(part.column("_text"), plan.words), plan.window, plan.gram)
                 if not len(found.anchor):
                     continue
                 shard = part.column("_shard").to_numpy()[found.text].astype(np.int64)
@@ -243,20 +298,20 @@ def recurring(table: pa.Table) -> pa.Table:
     return pa.table({"_shard": pa.array([r[0] for r in rows], pa.int32()), "low": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def candidates(docs: DataFrame, plan: Plan, text: str) -> DataFrame:
+def candidates(docs: DataFrame, plan: Plan) -> DataFrame:
     """(_shard, low): the recurring anchors of each shard; ``docs`` has _shard."""
-    rows = docs.select("_shard", F.col(f"`{text}`")).mapInArrow(anchor_rows(plan, text), "bucket int, low binary, shard binary, many binary")
+    rows = docs.select("_shard", "_text").mapInArrow(anchor_rows(plan), "bucket int, low binary, shard binary, many binary")
     return rows.groupBy("bucket").applyInArrow(recurring, "_shard int, low binary")
 
 
-def ids_of(table: pa.Table, key: str) -> np.ndarray:
+def ids_of(table: pa.Table) -> np.ndarray:
     """The ids as int64, null as the last."""
-    return pc.fill_null(table[key].cast(pa.int64()), int(LAST_ID)).to_numpy()
+    return pc.fill_null(table["_id"].cast(pa.int64()), int(LAST_ID)).to_numpy()
 
 
-def shard_passages(docs: pa.Table, anchors: pa.Table, plan: Plan, text: str) -> tuple[Units, Passages]:
+def shard_passages(docs: pa.Table, anchors: pa.Table, plan: Plan) -> tuple[Units, Passages]:
     """The units of a shard's texts, and its passages of recurring anchors."""
-    units = Units.of(docs[text], plan.words)
+    units = Units.of(docs["_text"], plan.words)
     found = Passages.of(units, plan.window, plan.gram)
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unplaned(x) for x in anchors["low"].to_pylist())]))
     return units, found.pick(np.flatnonzero(np.isin(found.anchor & LOW48, known)))
