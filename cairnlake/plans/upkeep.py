@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from cairnlake import schema
 from cairnlake.operators import catalog as c
 from cairnlake.operators import lifecycle as life
-from cairnlake.operators import migration, uploads
+from cairnlake.operators import metrics, migration, ordered, uploads
 from cairnlake.plans import flows
 from cairnlake.plans.fixtures import CUTOFF, NOW, Lake
 from cairnlake.plans.lifecycle import STALE_SQL
-from cairnlake.plans.registry import query
+from cairnlake.plans.registry import PATH_SQL, query
 from cairnlake.schema import OVERHEAD
 from cairnlake.session import shared_dir
 from cairnlake.sources import formats, tables
@@ -111,3 +111,27 @@ def migration_outcomes(lake: Lake) -> DataFrame:
     made = migration.requests(rows, folder)
     done = uploads.uploaded(made, lake.files, lake.blobs, lake.volumes, NOW, flows.MOST, 1_000_000, "none", lambda x: F.sha2(x, 256))
     return done.outcomes.select(F.substring("request_id", 3, 20).cast("long").alias("legacy_id"), "status_code", "inserted")
+
+
+AT = "2024-01-10 00:00:00"
+
+
+@query(f""", r AS (SELECT ts, method, {PATH_SQL} AS path, status, duration_s, CASE WHEN method = 'GET' AND status = 200 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS bytes_read FROM requests WHERE path <> '/metrics'),
+u AS (SELECT CASE WHEN seq % 50 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN seq % 3 = 0 THEN 'text' ELSE 'binary' END AS file_type, (seq % 7) / 8 AS duration_s, size, seq <> min(seq) OVER (PARTITION BY hash) AS is_dedup FROM uploads)
+SELECT 'http_requests_total' AS name, 'method=' || method || ',path=' || path || ',status=' || status AS labels, CAST(count(*) AS DOUBLE) AS value FROM r GROUP BY method, path, status
+UNION ALL SELECT 'http_request_duration_seconds_sum', 'method=' || method || ',path=' || path, round(sum(duration_s), 6) FROM r GROUP BY method, path
+UNION ALL SELECT 'http_requests_in_flight', '', CAST(count(*) FILTER (WHERE ts <= TIMESTAMP '{AT}' AND ts + to_microseconds(CAST(round(duration_s * 1000000) AS BIGINT)) > TIMESTAMP '{AT}') AS DOUBLE) FROM r
+UNION ALL SELECT 'upload_ops_total', 'status=' || status || ',file_type=' || file_type, CAST(count(*) AS DOUBLE) FROM u GROUP BY status, file_type
+UNION ALL SELECT 'upload_duration_seconds_sum', '', round(sum(duration_s), 6) FROM u
+UNION ALL SELECT 'storage_dedup_hits_total', '', CAST(count(*) FILTER (WHERE is_dedup AND status = 'success') AS DOUBLE) FROM u
+UNION ALL SELECT 'storage_deleted_bytes_total', '', CAST(sum(size_deleted) AS DOUBLE) FROM volumes
+UNION ALL SELECT 'storage_bytes_total', '', CAST(sum(size_total) AS DOUBLE) FROM volumes
+UNION ALL SELECT 'blob_bytes_written_total', '', CAST(sum(size) AS DOUBLE) FROM u
+UNION ALL SELECT 'blob_bytes_read_total', '', CAST(sum(bytes_read) AS DOUBLE) FROM r""")
+def metric_series(lake: Lake) -> DataFrame:
+    """All series of requests, uploads and volumes."""
+    reads = lake.requests.withColumn("bytes_read", F.when((F.col("method") == "GET") & (F.col("status") == 200), F.floor("value")).otherwise(0)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    s = F.col("seq")
+    told = ordered.dedup_assignment(lake.uploads).join(lake.uploads.select("seq", "size"), "seq")
+    done = told.select(F.when(s % 50 == 0, "error").otherwise("success").alias("status"), F.when(s % 3 == 0, "text").otherwise("binary").alias("file_type"), (s % 7 / 8).alias("duration_s"), F.col("size").alias("bytes_written"), "is_dedup")
+    return metrics.series(reads, done, lake.volumes, AT)

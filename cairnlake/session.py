@@ -6,9 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables that were written under the innermost contained().
+_written: ContextVar[list[str]] = ContextVar("written", default=[])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none and is a single machine's."""
@@ -32,6 +37,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     df.write.parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    _written.get().append(path)
     return spark.read.parquet(path), path
 
 
@@ -41,6 +47,24 @@ def drop(spark: SparkSession, path: str) -> None:
     held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
+def contained(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, as a written table; the tables that it wrote on the way go."""
+    inner: list[str] = []
+    mark = _written.set(inner)
+    try:
+        made = make()
+        path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+    finally:
+        _written.reset(mark)
+        for old in inner:
+            drop(spark, old)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    _written.get().append(path)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a table in the shared folder; later reads don't need its ancestors.
 

@@ -136,3 +136,14 @@ def test_jobs_on_a_timer(spark):
         time.sleep(0.1)
     job.stop()
     assert len(ran) >= 2
+
+
+def test_settings():
+    from cairnlake.settings import Settings
+
+    assert Settings.of({}) == Settings()
+    got = Settings.of({"spark.cairnlake.volume_size": "5 gb", "spark.cairnlake.pending_age": "1h30m", "spark.cairnlake.compression": "zstd", "other": "1"})
+    assert (got.volume_size, got.pending_age, got.compression, got.upload_size) == (5 << 30, 5400, "zstd", 500 << 20)
+    for bad in ({"spark.cairnlake.volume_size": "x"}, {"spark.cairnlake.pending_age": "1d"}):
+        with pytest.raises(ValueError):
+            Settings.of(bad)
