@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import enclosed, opened, ragged, read, schema_with, spans_of, tidy, whole_ids, with_columns
 from cairnlake.llm.induced import FAR, Space, pieces, ranked, suffix_sort, windows
 from cairnlake.llm.phrase_dedup import in_order
-from cairnlake.llm.winnow import LAST_ID, Passages, Plan, Units, bucket_of, candidates, contents, dealt, groups, ids_of, plan_for, shard_passages, words_at
+from cairnlake.llm.winnow import LAST_ID, Passages, Plan, Units, all_of, bucket_of, candidates, contents, dealt, groups, ids_of, plan_for, shard_passages, spread, words_at
 
 WINDOW, GRAM = 50, 16
 #: Ends a passage in a bucket's text; no byte of UTF-8. Bytes are shifted up by one, so that 0 can end the text.
@@ -279,12 +279,12 @@ def cut_out(plan: Plan):
         docs = in_order(docs)
         units = Units.of(docs["_text"], False)
         gone = np.zeros(len(units.data) + 1, np.int32)
-        if known.num_rows:
+        if any(map(len, known["key"].to_pylist())):
             keys, runs, size = (np.frombuffer(b"".join(known[n].to_pylist()), t) for n, t in (("key", "<u8"), ("runs", "u1"), ("size", "u1")))
             first = np.concatenate([gathered(x) for x in known["first"].to_pylist()])
             order = np.argsort(keys, kind="stable")
             run_at = np.cumsum(runs.astype(np.int64)) - runs
-            found = Passages.of(units, plan.window, plan.gram)
+            found = spread(Passages.of(units, plan.window, plan.gram), all_of(known["hot"]), units, plan)
             own = contents(words_at(units.data), found.start, found.count + plan.window - 1, *plan.lengths)
             at = np.minimum(np.searchsorted(keys, own, sorter=order), len(keys) - 1)
             met = np.flatnonzero(keys[order[at]] == own)
@@ -341,7 +341,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     shards = rows.groupBy("_shard")
     anchors = candidates(rows, plan)
     found = shards.cogroup(anchors.groupBy("_shard")).applyInArrow(passage_rows(plan), PASSAGE_SCHEMA)
-    known = found.groupBy("bucket").applyInArrow(sorted_bucket(plan), SORTED_SCHEMA)
+    known = found.groupBy("bucket").applyInArrow(sorted_bucket(plan), SORTED_SCHEMA).withColumn("hot", F.lit(b""))
+    hot = anchors.where("octet_length(hot) > 0").select("_shard", *[F.lit(b"").alias(c) for c in ("key", "runs", "size", "first")], "hot")
+    known = known.unionByName(hot)
     done = shards.cogroup(known.groupBy("_shard")).applyInArrow(cut_out(plan), schema_with(own, NEW))
     return opened(done, docs, ("n_bytes", "n_removed", "n_spans", "kept"), _id=key, _text=text)
 

@@ -17,11 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import GAP, packed, slices, spans_of, text_bytes, tidy
+from cairnlake.llm.common import GAP, packed, ragged, slices, spans_of, text_bytes, tidy
 
 #: Bytes of text in a shard, and of text whose anchors make a bucket, on average; and the least number of either.
 SHARD_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 8 << 20, 64
 SLICE_BYTES = 2 << 20
+#: An anchor of more shards is hot: its windows are dealt one by one.
+HOT = 4096
+#: Rows that a bucket gathers before it merges equal ones.
+MERGED = 1 << 21
 #: Units that are hashed at a time, as the processor's cache holds them; and the bits of a place among them.
 STRETCH, PLACE_BITS = 1 << 15, 28
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -227,6 +231,7 @@ class Plan:
     shards: int
     buckets: int
     across: bool  # only windows of two texts count, not those of one
+    hot: int
 
     @property
     def lengths(self) -> tuple[int, int]:
@@ -236,7 +241,7 @@ class Plan:
 
 def plan_for(docs: DataFrame, window: int, gram: int, words: bool, across: bool, bucket_bytes: int = BUCKET_BYTES) -> Plan:
     size = docs.agg(F.sum(F.octet_length("_text").cast("long")).alias("b")).first()["b"] or 0
-    return Plan(window, gram, words, max(LEAST, -(-size // SHARD_BYTES)), max(LEAST, -(-size // bucket_bytes)), across)
+    return Plan(window, gram, words, max(LEAST, -(-size // SHARD_BYTES)), max(LEAST, -(-size // bucket_bytes)), across, HOT)
 
 
 def dealt(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -275,33 +280,49 @@ def anchor_rows(plan: Plan) -> Callable:
     return run
 
 
-def recurring(table: pa.Table) -> pa.Table:
-    """Of one bucket: the anchors that occur twice or more, by shard."""
-    low, shard, many = [], [], []
-    for r in table.select(["low", "shard", "many"]).to_pylist():
-        low.append(unplaned(r["low"]))
-        shard.append(np.frombuffer(r["shard"], "<u4"))
-        many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8))[: len(low[-1])] > 0)
-    low, shard, many = map(np.concatenate, (low, shard, many))
-    order = np.argsort(low)
+def once(low: np.ndarray, shard: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of anchor and shard, in order; ``many`` where one came with it or more than once."""
+    order = np.lexsort((shard, low))
     low, shard, many = low[order], shard[order], many[order]
-    same = low[1:] == low[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    keep = np.repeat(np.logical_or.reduceat(many, head), np.diff(np.append(head, len(low))))
-    low, shard = low[keep], shard[keep].astype(np.int64)
-    order = np.lexsort((low, shard))
-    low, shard = low[order], shard[order]
-    rows = [(k, planes(np.unique(low[a:b]))) for k, a, b in groups(shard)]
-    tidy()
-    return pa.table({"_shard": pa.array([r[0] for r in rows], pa.int32()), "low": pa.array([r[1] for r in rows], pa.binary())})
+    same = np.zeros(len(low) + 1, bool)
+    same[1:-1] = (low[1:] == low[:-1]) & (shard[1:] == shard[:-1])
+    many = many | same[:-1] | same[1:]
+    head = np.flatnonzero(~same[:-1])
+    return low[head], shard[head], np.logical_or.reduceat(many, head) if len(head) else many
+
+
+def recurring(plan: Plan) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one bucket: the anchors that occur twice or more, by shard, and those of them that very many shards have."""
+        parts, held, kept = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool))], 0, 0
+        for batch in batches:
+            for low, shard, many in zip(*(batch.column(c).to_pylist() for c in ("low", "shard", "many")), strict=True):
+                low = unplaned(low)
+                parts.append((low, np.frombuffer(shard, "<u4"), np.unpackbits(np.frombuffer(many, np.uint8))[: len(low)] > 0))
+                held += len(low)
+            if held > 2 * kept + MERGED:
+                parts = [once(*map(np.concatenate, zip(*parts, strict=True)))]
+                held = kept = len(parts[0][0])
+        low, shard, many = once(*map(np.concatenate, zip(*parts, strict=True)))
+        del parts
+        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(low)))
+        again = (size > 1) | np.logical_or.reduceat(many, head) if len(head) else size > 1
+        keep, hot = np.repeat(again, size), np.repeat(size > plan.hot, size)
+        low, shard, hot = low[keep], shard[keep].astype(np.int64), hot[keep]
+        order = np.argsort(shard, kind="stable")
+        low, shard, hot = low[order], shard[order], hot[order]
+        rows = [(k, planes(low[a:b]), planes(low[a:b][hot[a:b]])) for k, a, b in groups(shard)]
+        tidy()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(3)], ["_shard", "low", "hot"])
+
+    return run
 
 
 def candidates(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(_shard, low): the recurring anchors of each shard; ``docs`` has _shard."""
+    """(_shard, low, hot): the recurring anchors of each shard, and the hot ones among them; ``docs`` has _shard."""
     rows = docs.select("_shard", "_text").mapInArrow(anchor_rows(plan), "bucket int, low binary, shard binary, many binary")
-    return rows.groupBy("bucket").applyInArrow(recurring, "_shard int, low binary")
+    return rows.groupBy("bucket").applyInArrow(recurring(plan), "_shard int, low binary, hot binary")
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
@@ -310,11 +331,32 @@ def ids_of(table: pa.Table) -> np.ndarray:
 
 
 def shard_passages(docs: pa.Table, anchors: pa.Table, plan: Plan) -> tuple[Units, Passages]:
-    """The units of a shard's texts, and its passages of recurring anchors."""
+    """The units of a shard's texts, and its passages of recurring anchors, those of hot ones window by window."""
     units = Units.of(docs["_text"], plan.words)
     found = Passages.of(units, plan.window, plan.gram)
-    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unplaned(x) for x in anchors["low"].to_pylist())]))
-    return units, found.pick(np.flatnonzero(np.isin(found.anchor & LOW48, known)))
+    known = np.unique(all_of(anchors["low"]))
+    return units, spread(found.pick(np.flatnonzero(np.isin(found.anchor & LOW48, known))), all_of(anchors["hot"]), units, plan)
+
+
+def all_of(blobs) -> np.ndarray:
+    """The packed numbers of a column."""
+    return np.concatenate([np.zeros(0, np.uint64), *(unplaned(x) for x in blobs.to_pylist())])
+
+
+def spread(found: Passages, hot: np.ndarray, units: Units, plan: Plan) -> Passages:
+    """Passages of hot anchors as single windows, whose own hashes deal them: no bucket holds all of a common anchor."""
+    split = np.isin(found.anchor & LOW48, hot) if len(hot) else np.zeros(len(found.anchor), bool)
+    if not split.any():
+        return found
+    some, rest = found.pick(np.flatnonzero(split)), found.pick(np.flatnonzero(~split))
+    start = ragged(some.start, some.count)
+    if found.prefix is None:
+        own = contents(words_at(units.data), start, np.full(len(start), plan.window), plan.window, plan.window)
+    else:
+        own = hashes(found.prefix, start, start + plan.window)
+    each = Passages(mix(own ^ BASE), start, np.ones(len(start), np.int64), np.repeat(some.text, some.count), np.repeat(some.place, some.count), found.prefix)
+    both = [np.concatenate([getattr(rest, n), getattr(each, n)]) for n in ("anchor", "start", "count", "text", "place")]
+    return Passages(*both, found.prefix).pick(np.argsort(both[1], kind="stable"))
 
 
 def keys_of(found: Passages, plan: Plan) -> np.ndarray:
