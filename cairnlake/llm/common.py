@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairnlake.session import cut, shared_dir  # noqa: F401
+from cairnlake.session import contained, cut, drop, shared_dir, written  # noqa: F401
 
 #: Word separators of the contracts: the space and TAB to CR.
 WORD_SPACE = r"[\x20\x09-\x0D]+"

@@ -1,26 +1,32 @@
 """N-gram Jaccard join over count-vector R-trees.
 
-A text's set are its distinct word shingles, as 64-bit hashes. Equal sets become one node. Linked sets of sizes a <= b
-differ in few shingles (at 90 of 100: a // 9), so when a size band cuts its shingles into more hashed groups than
-that, linked sets have a whole group in common: groups of equal content are the blocks in which partners meet.
-
-In a block, each node is first verified against the node that it shares most blocks with. Blocks that still hold nodes of
-different components index the shingle counts of 16 hash groups as points of an R-tree: the sum of the coordinate minima
-of a node and a box bounds every overlap in the box, boxes below the needed overlap are left out, and the surviving pairs
-are verified on their sets. Nothing is expanded into all pairs, and no link between different components is left untried.
+A text's set are its distinct word shingles, as 64-bit hashes. Equal sets become one node. A node's shingle counts in 128
+hash groups are a point, and the sum of the coordinate minima of two points bounds the overlap of their sets.
+
+Points are partitioned before they are indexed. Linked sets of sizes a <= b differ in few shingles (at 90 of 100: a // 9),
+so when a size band cuts its shingles into more hashed groups than that, linked sets have a whole group in common: points
+that share a group of equal content make a block. Each block's points are packed into an R-tree by size, boxes whose
+summed minima fall below the needed overlap are left out, and the surviving pairs are verified on their sets; a block of
+one leaf is tried pair by pair under the same bound, and a large block is split into trees that each seeker visits.
+
+For components a node first meets the node that it shares most blocks with. Then, round after round, the nodes of a block
+outside its largest component propose their likeliest untried partners of other components, more in each round, until
+no block holds a pair that the bound allows and that was not tried: no link between components is lost, and pairs within
+one component cost nothing. links() tries those as well.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import GAP, LOWER, cut, ragged, read, slices, spans_of, text_bytes, tidy
+from cairnlake.llm.common import GAP, LOWER, contained, cut, drop, enclosed, opened, ragged, read, slices, spans_of, text_bytes, tidy, whole_ids, written
 from cairnlake.llm.winnow import BUCKET_BYTES, LAST_ID, LEAST, TABLE, groups, hashes, mix, planes, rolling, sums, unplaned
 
 SHINGLE, PERCENT = 3, 90
@@ -31,9 +37,13 @@ BAND = 1.25
 LEAF = 16
 #: Rows of a list that is broadcast: of two numbers each.
 SHORT = 400_000
-#: Blocks of several components are tried in rounds: so many of the likeliest partners of a node, in the end all.
-ROUNDS = (4, 1 << 30)
+#: So many untried partners a node proposes in the first round, and so many times as many in each round after.
+FIRST, MORE = 2, 8
+#: Nodes of one tree; a larger block has several.
+TREE = 2048
 SLICE_BYTES = 2 << 20
+#: Rows that a bucket gathers before it merges equal ones.
+MERGED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -50,7 +60,7 @@ class Rule:
     @property
     def slack(self) -> float:
         """Groups besides those that linked sets may differ in, as a share of these."""
-        return 0.15 if self.percent >= 89 else 0.25
+        return 0.15 if self.percent >= 89 else 0.1
 
     @property
     def small(self) -> int:
@@ -175,21 +185,38 @@ def block_rows(text: str, rule: Rule, buckets: int):
     return run
 
 
-def members(table: pa.Table) -> pa.Table:
-    """Of one bucket: the blocks of two nodes or more, with their nodes and the least of them as leader."""
-    block = np.concatenate([unplaned(x) for x in table["block"].to_pylist()])
-    names = [np.frombuffer(x, "<u8") for x in table["node"].to_pylist()]
-    node = np.concatenate([n[np.frombuffer(w, "<u2" if len(n) < 65536 else "<u4")] for n, w in zip(names, table["which"].to_pylist(), strict=True)]).view(np.int64)
+def once(block: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order."""
     order = np.lexsort((node, block))
     block, node = block[order], node[order]
     new = np.ones(len(block), bool)
     new[1:] = (block[1:] != block[:-1]) | (node[1:] != node[:-1])
-    block, node = block[new], node[new]
+    return block[new], node[new]
+
+
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: the blocks of two nodes or more, with their nodes and the least of them as leader.
+
+    Copies of a node that come from many tasks are merged on the way.
+    """
+    blocks, nodes, held, kept, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0, 0
+    for batch in batches:
+        for part, names, which in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "which")), strict=True):
+            own = np.frombuffer(names, "<u8")
+            blocks.append(unplaned(part))
+            nodes.append(own[np.frombuffer(which, "<u2" if len(own) < 65536 else "<u4")].view(np.int64))
+            held += len(blocks[-1])
+        bucket = batch.column("bucket")[0].as_py() if batch.num_rows else bucket
+        if held > 2 * kept + MERGED:
+            merged = once(np.concatenate(blocks), np.concatenate(nodes))
+            blocks, nodes = [merged[0]], [merged[1]]
+            held = kept = len(merged[0])
+    block, node = once(np.concatenate(blocks), np.concatenate(nodes))
+    del blocks, nodes
     head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(block)))
     keep = np.repeat(size > 1, size)
-    bucket = table["bucket"][0].as_py()
-    return pa.table({"block": pa.array(block[keep].view(np.int64) | np.int64(0)), "bucket": pa.array(np.full(int(keep.sum()), bucket), pa.int32()), "node": pa.array(node[keep]), "leader": pa.array(np.repeat(node[head], size)[keep])})
+    yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(np.full(int(keep.sum()), bucket), pa.int32()), pa.array(node[keep]), pa.array(np.repeat(node[head], size)[keep])], ["block", "bucket", "node", "leader"])
 
 
 class RTree:
@@ -240,15 +267,21 @@ def bounded(rule: Rule):
     return run
 
 
+PLACE = ("block", "bucket", "chunk")
+
+
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in tables that end where a block ends."""
+    """Sorted rows in tables that end where a chunk of a block ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        block, bucket = batch.column("block").to_numpy(), batch.column("bucket").to_numpy()
-        cuts = np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-        if held and (held[-1].column("block")[-1], held[-1].column("bucket")[-1]) != (batch.column("block")[0], batch.column("bucket")[0]):
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in PLACE:
+            x = batch.column(c).to_numpy()
+            new |= x[1:] != x[:-1]
+        cuts = np.flatnonzero(new) + 1
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in PLACE):
             cuts = np.append(0, cuts)
         if len(cuts):
             last = int(cuts[-1])
@@ -261,59 +294,64 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def likeliest(pairs: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """The distinct pairs that are among the ``most`` likeliest of either node."""
-    low, high = pairs.min(1), pairs.max(1)
-    order = np.lexsort((high, low))
+def likeliest(pairs: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the distinct pairs (seeker, partner) that are among the ``most`` likeliest of their seeker, whether it has more)."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     new = np.ones(len(order), bool)
-    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-    pairs, score = np.stack([low, high], 1)[order[new]], score[order[new]]
-    keep = np.zeros(len(pairs), bool)
-    for side in (0, 1):
-        order = np.lexsort((-score, pairs[:, side]))
-        own = pairs[order, side]
-        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        keep[order[np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own)))) < most]] = True
-    return pairs[keep]
+    new[1:] = np.any(pairs[order][1:] != pairs[order][:-1], axis=1)
+    order = order[new]
+    order = order[np.lexsort((-score[order], pairs[order, 0]))]
+    own = pairs[order, 0]
+    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(own)))
+    keep = np.arange(len(own)) - np.repeat(head, size) < most[order]
+    return order[keep], (np.repeat(size, size) > most[order])[keep]
 
 
 def across(rule: Rule, most: int):
-    """Of sorted blocks: pairs of nodes of different components whose counts allow a link, the likeliest of each node."""
+    """Of sorted chunks of blocks: (a, b, score) of seekers and members of other components whose counts allow a link.
+
+    A seeker ``a`` names its likeliest ``most`` partners, and one more for each pair of it that was tried in vain; ``more``
+    where it has others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_blocks(batches):
-            block, bucket, node, comp, size = (table[c].to_numpy() for c in ("block", "bucket", "node", "comp", "n"))
+            block, bucket, chunk, node, comp, size, member, seek, vain = (table[c].to_numpy() for c in (*PLACE, "node", "comp", "n", "member", "seek", "vain"))
             held = points_of(table["point"])
-            new = np.concatenate([[True], (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])])
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])])
             head = np.flatnonzero(new)
             lens = np.diff(np.append(head, len(block)))
-            out, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+            out, scores, limits = [np.zeros((0, 2), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
 
             def keep(x: np.ndarray, y: np.ndarray) -> None:
-                apart = comp[x] != comp[y]  # noqa: B023
+                apart = (comp[x] != comp[y]) & seek[x] & member[y]  # noqa: B023
                 x, y = x[apart], y[apart]
                 score = likeness(held[x], held[y], size[x], size[y])  # noqa: B023
                 ok = np.flatnonzero(score >= rule.percent)
-                out.append(np.stack([node[x[ok]], node[y[ok]]], 1))  # noqa: B023
-                scores.append(score[ok])  # noqa: B023
+                score, x, y = score[ok], x[ok], y[ok]
+                if len(ok) and x[0] == x[-1] and len(ok) > most + vain[x[0]] + 1:  # noqa: B023  one seeker's
+                    best = np.argpartition(-score, most + vain[x[0]] + 1)[: most + vain[x[0]] + 1]  # noqa: B023
+                    score, x, y = score[best], x[best], y[best]
+                out.append(np.stack([node[x], node[y]], 1))  # noqa: B023
+                scores.append(score)  # noqa: B023
+                limits.append(most + vain[x])  # noqa: B023
 
             for many in range(2, LEAF + 1):  # blocks of a leaf: all at once
                 at = head[lens == many]
                 for k in range(0, len(at), 50_000):
                     for i in range(many):
-                        for j in range(i + 1, many):
-                            keep(at[k : k + 50_000] + i, at[k : k + 50_000] + j)
+                        for j in range(many):
+                            if i != j:
+                                keep(at[k : k + 50_000] + i, at[k : k + 50_000] + j)
             for a, n in zip(head[lens > LEAF], lens[lens > LEAF], strict=True):
-                own, tree = slice(a, a + n), RTree(held[a : a + n], size[a : a + n])
-                names, counts = np.unique(comp[own], return_counts=True)
-                for i in np.flatnonzero(comp[own] != names[np.argmax(counts)]) + a:  # the others meet all
+                tree = RTree(held[a : a + n], size[a : a + n])
+                for i in np.flatnonzero(seek[a : a + n]) + a:
                     j = tree.partners(held[i], int(size[i]), rule.percent) + a
                     keep(np.full(len(j), i), j)
-                    if len(scores[-1]) > most:
-                        best = np.argpartition(-scores[-1], most)[:most]
-                        out[-1], scores[-1] = out[-1][best], scores[-1][best]
-            pairs = likeliest(np.concatenate(out), np.concatenate(scores), most)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+            pairs, score = np.concatenate(out), np.concatenate(scores)
+            best, more = likeliest(pairs, score, np.concatenate(limits))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[best, 0], pa.int64()), pa.array(pairs[best, 1], pa.int64()), pa.array(score[best], pa.float64()), pa.array(more)], ["a", "b", "score", "more"])
         tidy()
 
     return run
@@ -352,15 +390,15 @@ def verified(rule: Rule):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, rule: Rule) -> DataFrame:
+def verify(pairs: DataFrame, slim: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b), and whether their sets are ``linked``; sets are drawn from the texts of the pairs' nodes alone.
 
     The list of these texts is broadcast while it is short, and joined by shuffle beyond ``SHORT`` rows.
     """
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     needed = cut(ends.join(nodes.select("node", "rep.*"), "node"))
-    named = docs.join(F.broadcast(needed) if needed.count() <= SHORT else needed, ["id", "hash"]).select("node", text)
-    held = cut(named.mapInArrow(sets_of(text, rule), "node bigint, set binary"))
+    named = slim.join(F.broadcast(needed) if needed.count() <= SHORT else needed, ["id", "hash"]).select("node", "text")
+    held = cut(named.mapInArrow(sets_of("text", rule), "node bigint, set binary"))
     with_x = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     return with_x.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verified(rule), "a bigint, b bigint, linked boolean")
 
@@ -379,75 +417,176 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, hash, n, node) of the rows, (node, rep, n, point) of the distinct sets, (node, comp) of those that are linked."""
-    own, hashed = identity(key, text)
-    slim = docs.select(own.alias("id"), hashed.alias("hash"), F.col(f"`{text}`").alias(text))
-    total = slim.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long")).alias("b")).first()["b"] or 0
-    rows = cut(slim.mapInArrow(set_rows(text, rule), "id bigint, hash bigint, n bigint, node bigint, point binary"))
+def grown(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, comp) after more edges (a, b): only the edges between components are followed."""
+    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct().withColumn("comp", F.col("node"))
+    if comps is None:
+        return components(edges)
+    known = cut(comps.unionAll(ends).groupBy("node").agg(F.min("comp").alias("comp")))
+    side = lambda x, y: known.select(F.col("node").alias(x), F.col("comp").alias(y))
+    between = edges.join(side("a", "_a"), "a").join(side("b", "_b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    moved = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+    return cut(known.join(moved, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp")))
+
+
+def indexed(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(id, hash, n, node, point) of the rows, (node, rep, n, point) of the distinct sets, (block, bucket, node, leader) of shared blocks and where they are written."""
+    total = slim.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+    rows = cut(slim.mapInArrow(set_rows("text", rule), "id bigint, hash bigint, n bigint, node bigint, point binary"))
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("rep"), F.min("n").alias("n"), F.min("point").alias("point"))
     buckets = max(LEAST, -(-total // BUCKET_BYTES))
-    blocks = slim.mapInArrow(block_rows(text, rule, buckets), "bucket int, block binary, node binary, which binary")
-    met = cut(blocks.groupBy("bucket").applyInArrow(members, "block bigint, bucket int, node bigint, leader bigint"))
+    blocks = slim.mapInArrow(block_rows("text", rule, buckets), "bucket int, block binary, node binary, which binary")
+    return rows, nodes, *written(blocks.groupBy("bucket").applyInArrow(members, "block bigint, bucket int, node bigint, leader bigint"))
+
 
+def proposed(part: DataFrame, nodes: DataFrame, vain: DataFrame | None, active: DataFrame | None, rule: Rule, most: int) -> DataFrame:
+    """(a, b, score, more) of the pairs that seekers propose in blocks (block, bucket, node, comp) of several components.
+
+    Seekers are the nodes outside the largest component of a block or, where ``active`` (node) names some, these; ``vain``
+    (node, vain) counts the pairs of a node that were tried in vain. A block of more than ``TREE`` nodes is split by the hash of its nodes, and its seekers visit every chunk.
+    """
+    own = ["block", "bucket"]
+    rows = part.withColumn("_seek", F.lit(True)) if active is None else part.join(active.withColumn("_seek", F.lit(True)), "node", "left").fillna(False, "_seek")
+    about = nodes.select("node", "n", "point")
+    about = about.withColumn("vain", F.lit(0).cast("long")) if vain is None else about.join(vain, "node", "left").fillna(0, "vain")
+    parts = rows.groupBy(*own, "comp").agg(F.count("*").alias("_n"), F.max("_seek").alias("_any"))
+    mixed = parts.groupBy(*own).agg(F.sum("_n").alias("_size"), F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.count("*").alias("_comps"), F.max("_any").alias("_any")).where("_comps > 1 and _any")
+    chunks = F.ceil(F.col("_size") / TREE).cast("int")
+    home = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    seek = F.col("comp") != F.col("_main") if active is None else F.col("_seek")
+    places = F.when(seek, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(home))
+    dealt = rows.join(mixed.drop("_any"), own).select(*own, "node", "comp", seek.alias("seek"), home.alias("_home"), F.explode(places).alias("chunk"))
+    sized = dealt.join(about, "node").withColumn("member", F.col("chunk") == F.col("_home"))
+    sorted_rows = sized.repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return sorted_rows.select(*PLACE, "node", "comp", "n", "member", "seek", "vain", "point").mapInArrow(across(rule, most), "a bigint, b bigint, score double, more boolean")
+
+
+def one_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, hash, n, node) of the rows, (node, rep, n, point) of the distinct sets, (node, comp) of those that are linked."""
+    spark = slim.sparkSession
+    rows, nodes, met, path = indexed(slim, rule)
     shared = met.where("node <> leader").groupBy("node", "leader").count()
     first = shared.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("b")).withColumnRenamed("node", "a")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     sized = first.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb"))
     near = cut(sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded(rule), "a bigint, b bigint"))
-    tried = cut(verify(near, slim, nodes, text, rule))
-
-    part = met.select("block", "bucket", "node")
-    for most in ROUNDS:
-        comps = components(tried.where("linked").select("a", "b"))
-        part = part.join(comps, "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = part.groupBy("block", "bucket").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("block", "bucket")
-        part = cut(part.join(mixed, ["block", "bucket"]))
-        in_blocks = part.join(nodes.select("node", "n", "point"), "node").repartition("block", "bucket").sortWithinPartitions("block", "bucket")
-        pairs = cut(in_blocks.mapInArrow(across(rule, most), "a bigint, b bigint").distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and most == ROUNDS[-1]:
-            break
-        tried = cut(tried.unionAll(verify(pairs, slim, nodes, text, rule)))
-        part = part.select("block", "bucket", "node")
-    links = tried.where("linked")
-    return rows, nodes, components(links.select("a", "b"))
+    tried = contained(spark, lambda: verify(near, slim, nodes, rule))
+    comps = contained(spark, lambda: grown(None, tried.where("linked").select("a", "b")))
+    failed = [tried.where("not linked").select("a", "b")]
+
+    part, most, active, spent = met.select("block", "bucket", "node"), FIRST, None, [path]
+    while True:
+        # pairs that are untried have an end among the active nodes: those with more partners than they could propose
+        placed = part.join(comps, "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        lost = one_way(functools.reduce(DataFrame.unionAll, failed))
+        vain = lost.select(F.col("a").alias("node")).unionAll(lost.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("vain"))
+        found = proposed(placed, nodes, vain, active, rule, most).groupBy("a", "b").agg(F.max("score").alias("score"), F.max("more").alias("more"))
+        fresh = found.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")}).join(lost.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
+        ranked, path = written(fresh.select("a", "b", "more", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")).alias("rank")).where(F.col("rank") <= most + 1))
+        pairs = one_way(ranked.where(F.col("rank") <= most))
+        if pairs.isEmpty():
+            return rows, nodes, comps
+        tried = contained(spark, lambda: verify(pairs, slim, nodes, rule))  # noqa: B023
+        comps = contained(spark, lambda: grown(comps, tried.where("linked").select("a", "b")))  # noqa: B023
+        failed.append(tried.where("not linked").select("a", "b"))
+        active = cut(ranked.where((F.col("rank") > most) | F.col("more")).select(F.col("a").alias("node")).distinct())
+        drop(spark, path)
+        if active.isEmpty():
+            return rows, nodes, comps
+        part, path = written(part.join(part.join(active, "node", "left_semi").select("block", "bucket").distinct(), ["block", "bucket"], "left_semi"))
+        for old in spent:
+            drop(spark, old)
+        spent, most = [path], most * MORE
+
+
+def identity(key: str, text: str):
+    """A row's id, the greatest number for a null, and the hash of its text."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(int(LAST_ID))), F.xxhash64(text)
+
+
+def slim_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    whole_ids(docs, key)
+    own, hashed = identity(f"`{key}`", f"`{text}`")
+    return docs.select(own.alias("id"), hashed.alias("hash"), F.col(f"`{text}`").alias("text"))
+
+
+def known(c):
+    return F.when(c != int(LAST_ID), c)
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(key, n_shingles, component_id) of each row of ``docs``.
 
-    A null text or one without words has no shingles, is linked with nothing and is its own component. Rows that repeat an
-    id each get a row. A null id links as any other, and its component's id is the least that is not null. Other columns
-    of ``docs`` don't matter; empty tables stay empty.
+    Ids are whole numbers. A null text or one without words has no shingles, is linked with nothing and is its own
+    component; long texts of any length are read whole. Rows that repeat an id each get a row. A null id links as any
+    other, and its component's id is the least that is not null. Other columns of ``docs`` don't matter, whatever their
+    names; empty tables stay empty.
     """
-    rows, nodes, found = linked(docs, key, text, rule)
+    rows, nodes, found = linked(slim_rows(docs, key, text), rule)
     placed = cut(nodes.select("node", F.col("rep.id").alias("_rep")).join(found, "node", "left").select("node", "_rep", F.coalesce("comp", "node").alias("comp")))
     least = placed.join(placed.groupBy("comp").agg(F.min("_rep").alias("_comp")), "comp").select("node", "_comp")
     kept = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(least, "node", "left")
-    known = lambda c: F.when(c != int(LAST_ID), c)
     return kept.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(F.coalesce("_comp", "id")).alias("component_id"))
 
 
-def identity(key: str, text: str):
-    """A row's id, the greatest number for a null, and the hash of its text."""
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST_ID))), F.xxhash64(F.col(f"`{text}`"))
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (key, class, n_links) of each row, and the links (class_a, class_b) between classes.
+
+    Rows of equal sets are a class, named by a hash; a row links with every row of its own class and of the classes linked
+    with it, and ``n_links`` counts these other rows. Texts without shingles have no class and no links. Nulls, repeats
+    and empty tables as in joined().
+    """
+    slim = slim_rows(docs, key, text)
+    rows, nodes, met, _ = indexed(slim, rule)
+    part = met.select("block", "bucket", "node", F.col("node").alias("comp"))
+    pairs = cut(one_way(proposed(part, nodes, None, None, rule, 1 << 60)))
+    found = contained(docs.sparkSession, lambda: verify(pairs, slim, nodes, rule).where("linked").select("a", "b"))
+    copies = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("_copies"))
+    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("_copies").alias("_others"))
+    counted = copies.join(others, "node", "left").select("node", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    kept = rows.select("id", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(counted, "node", "left")
+    return kept.select(known(F.col("id")).alias(key), F.col("node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), found.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that are left when each component keeps its row of the least id, a null the last, and text hash.
 
     Rows that share an id are told apart by their texts; of rows equal in both one stays. A text without shingles is its
-    own component; such rows of a null id all stay.
+    own component; such rows of a null id all stay. Columns of any name are kept as they are; empty tables stay empty.
     """
-    rows, nodes, found = linked(docs, key, text, rule)
+    rows, nodes, found = linked(slim_rows(docs, key, text), rule)
     least = nodes.select("node", "rep").join(found, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("rep").alias("rep"))
-    bare = rows.where("n = 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.lit(True).alias("_bare")).distinct()
-    first = least.select(F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"), F.lit(False).alias("_bare")).unionAll(bare)
-    own, hashed = identity(key, text)
-    kept = docs.withColumns({"_id": own, "_hash": hashed}).join(first, ["_id", "_hash"])
-    apart = F.when(F.col("_bare") & (F.col("_id") == int(LAST_ID)), F.monotonically_increasing_id())
-    return kept.withColumn("_apart", apart).dropDuplicates(["_id", "_hash", "_apart"]).select(*docs.columns)
+    bare = rows.where("n = 0").select(F.col("id").alias("id"), F.col("hash").alias("hash"), F.lit(True).alias("bare")).distinct()
+    first = least.select(F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash"), F.lit(False).alias("bare")).unionAll(bare)
+    own, hashed = identity("_key", "_text")
+    kept = enclosed(docs, _key=key, _text=text).withColumns({"id": own, "hash": hashed}).join(first, ["id", "hash"])
+    apart = F.when(F.col("bare") & (F.col("id") == int(LAST_ID)), F.monotonically_increasing_id())
+    once = kept.withColumn("apart", apart).dropDuplicates(["id", "hash", "apart"])
+    return opened(once, docs, (), _key=key, _text=text)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS k FROM d, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, bit_xor(k) AS x, sum(k % 1000000007) AS y FROM s GROUP BY 1),
+class AS (SELECT min(doc_id) AS id, n FROM n GROUP BY n, x, y),
+own AS (SELECT s.doc_id, k, n FROM s JOIN class ON s.doc_id = class.id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS met FROM own a JOIN own b USING (k)
+           WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM shared WHERE 100 * met >= {PERCENT} * (na + nb - met)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM class UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least_of AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1),
+named AS (SELECT n.doc_id, n.n, l.component_id FROM n JOIN (SELECT min(doc_id) AS id, n, x, y FROM n GROUP BY n, x, y) c USING (n, x, y) JOIN least_of l ON l.id = c.id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(component_id, d.doc_id) AS BIGINT) AS component_id FROM d LEFT JOIN named USING (doc_id)
+"""
