@@ -1,18 +1,18 @@
 """The corpus pipeline: quality rules, near duplicates, repeated strings, benchmark passages, token ids.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``; other columns
+of ``docs``, whatever their names, go. Empty tables stay empty, and texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm import decontaminate, jaccard_join, quality_rules, sentencepieces, suffix_dedup
-from cairnlake.llm.common import read, shared_dir
+from cairnlake.llm.common import read
+from cairnlake.session import drop, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share four of five five-word shingles.
@@ -25,7 +25,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no base rule and no learned rule rejects."""
+    """Documents that no base rule and no learned rule rejects; null and empty texts fail the base rule."""
     return documents(quality_rules.quality(docs, read(spark, sf_dir, "labels")).where("kept"))
 
 
@@ -42,12 +42,15 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of the benchmark."""
+    """Texts without the passages of the benchmark; a null text stays null, null ids and repeated rows are searched as any."""
     return documents(decontaminate.found(docs, read(spark, sf_dir, "benchmark"), cleaned=True))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids (little-endian unsigned 32-bit), how many they are, and the digests of ids and decoded text."""
+    """Documents with their ids (little-endian unsigned 32-bit), how many they are, and the digests of ids and decoded text.
+
+    A null text is encoded as an empty one and stays null; repeated rows each keep theirs.
+    """
     import public_tokenizers
 
     encoded = sentencepieces.encode_decode(docs, public_tokenizers.path(sentencepieces.MODEL))
@@ -67,12 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's table is written to the shared folder and read again."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's table is written to the shared folder and read again.
+
+    A stage's table goes as soon as the next one is written; the last one that is needed goes when the driver's JVM ends.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            docs, path = written(docs)
+            if before:
+                drop(spark, before)
+            before = path
     return docs
