@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import enclosed, opened, ragged, read, schema_with, spans_of, tidy, whole_ids, with_columns
 from cairnlake.llm.induced import FAR, Space, pieces, ranked, suffix_sort, windows
 from cairnlake.llm.phrase_dedup import in_order
-from cairnlake.llm.winnow import LAST_ID, Passages, Plan, Units, all_of, bucket_of, candidates, contents, dealt, groups, ids_of, plan_for, shard_passages, spread, words_at
+from cairnlake.llm.winnow import LAST_ID, Passages, Plan, Units, all_of, bucket_of, candidates, contents, dealt, groups, ids_of, plan_for, planes, shard_passages, spread, words_at
 
 WINDOW, GRAM = 50, 16
 #: Ends a passage in a bucket's text; no byte of UTF-8. Bytes are shifted up by one, so that 0 can end the text.
@@ -50,6 +50,8 @@ def passage_rows(plan: Plan):
             body = units.data[ragged(some.start, lens)]
             upto = np.concatenate([[0], np.cumsum(lens)])
             shard = docs["_shard"][0].as_py()
+            if len(hot := np.sort(all_of(anchors["hot"]))):  # they go to their shard again, through any bucket
+                rows.append([shard % plan.buckets, shard, planes(hot), *[b""] * 4])
             for k, a, b in groups(bucket_of(some.anchor, plan.buckets)):
                 rows.append([k, shard, spread_bytes(low[a:b]), np.packbits(high[a:b] > low[a:b]).tobytes(), some.count[a:b].astype("u1").tobytes(), (some.place[a:b] - some.start[a:b]).astype("u1").tobytes(), body[upto[a] : upto[b]].tobytes()])
         tidy()
@@ -124,11 +126,15 @@ class Bucket:
 
     def __init__(self, batches: Iterator[pa.RecordBatch], plan: Plan, space: Space):
         window = plan.window
+        self.hot: list[tuple[int, bytes]] = []
         kinds_of = (("body", np.uint8), ("count", np.uint8), ("anchor", np.uint8), ("own", np.int64), ("many", bool), ("shard", np.int32))
         spools = {n: Spool(k, space) for n, k in kinds_of}
         for batch in batches:
             for shard, least, many, count, anchor, body in zip(*(batch.column(n) for n in ("_shard", "least", "many", "count", "anchor", "body")), strict=True):
                 counts = np.frombuffer(count.as_buffer(), np.uint8)
+                if not len(counts):
+                    self.hot.append((shard.as_py(), least.as_py()))
+                    continue
                 spools["body"].add(np.frombuffer(body.as_buffer(), np.uint8).copy())
                 spools["count"].add(counts.copy())
                 spools["anchor"].add(np.frombuffer(anchor.as_buffer(), np.uint8).copy())
@@ -263,15 +269,20 @@ def sorted_bucket(plan: Plan):
                 run_at = np.flatnonzero(start)
                 runs = np.diff(np.searchsorted(run_at, np.concatenate([[0], np.cumsum(counts)])))
                 rows.append((k, bucket.key[some].tobytes(), runs.astype("u1").tobytes(), np.diff(np.append(run_at, len(each))).astype("u1").tobytes(), spread_bytes(each[run_at])))
-            names = ("_shard", "key", "runs", "size", "first")
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names)
+            yield sorted_rows([(*r, b"") for r in rows])
+        yield sorted_rows([(k, *[b""] * 4, hot) for k, hot in bucket.hot])
         del bucket, first, low, keep
         tidy()
 
     return run
 
 
-SORTED_SCHEMA = "_shard int, key binary, runs binary, size binary, first binary"
+SORTED = ("_shard", "key", "runs", "size", "first", "hot")
+SORTED_SCHEMA = "_shard int, " + ", ".join(f"{c} binary" for c in SORTED[1:])
+
+
+def sorted_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(SORTED))], [*SORTED])
 
 
 def cut_out(plan: Plan):
@@ -341,9 +352,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     shards = rows.groupBy("_shard")
     anchors = candidates(rows, plan)
     found = shards.cogroup(anchors.groupBy("_shard")).applyInArrow(passage_rows(plan), PASSAGE_SCHEMA)
-    known = found.groupBy("bucket").applyInArrow(sorted_bucket(plan), SORTED_SCHEMA).withColumn("hot", F.lit(b""))
-    hot = anchors.where("octet_length(hot) > 0").select("_shard", *[F.lit(b"").alias(c) for c in ("key", "runs", "size", "first")], "hot")
-    known = known.unionByName(hot)
+    known = found.groupBy("bucket").applyInArrow(sorted_bucket(plan), SORTED_SCHEMA)
     done = shards.cogroup(known.groupBy("_shard")).applyInArrow(cut_out(plan), schema_with(own, NEW))
     return opened(done, docs, ("n_bytes", "n_removed", "n_spans", "kept"), _id=key, _text=text)
 
