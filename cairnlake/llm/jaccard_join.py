@@ -17,7 +17,6 @@ one component cost nothing. links() tries those as well.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ LEAF = 16
 #: Rows of a list that is broadcast: of two numbers each.
 SHORT = 400_000
 #: So many untried partners a node proposes in the first round, and so many times as many in each round after.
-FIRST, MORE = 2, 8
+FIRST, MORE = 4, 16
 #: Nodes of one tree; a larger block has several.
 TREE = 2048
 SLICE_BYTES = 2 << 20
@@ -476,13 +475,12 @@ def linked(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame
     near = cut(sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded(rule), "a bigint, b bigint"))
     tried = contained(spark, lambda: verify(near, slim, nodes, rule))
     comps = contained(spark, lambda: grown(None, tried.where("linked").select("a", "b")))
-    failed = [tried.where("not linked").select("a", "b")]
+    lost = one_way(tried.where("not linked"))
 
     part, most, active, spent = met.select("block", "bucket", "node"), FIRST, None, [path]
     while True:
         # pairs that are untried have an end among the active nodes: those with more partners than they could propose
         placed = part.join(comps, "node", "left").select("block", "bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        lost = one_way(functools.reduce(DataFrame.unionAll, failed))
         vain = lost.select(F.col("a").alias("node")).unionAll(lost.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("vain"))
         found = proposed(placed, nodes, vain, active, rule, most).groupBy("a", "b").agg(F.max("score").alias("score"), F.max("more").alias("more"))
         fresh = found.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")}).join(lost.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
@@ -491,8 +489,10 @@ def linked(slim: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame
         if pairs.isEmpty():
             return rows, nodes, comps
         tried = contained(spark, lambda: verify(pairs, slim, nodes, rule))  # noqa: B023
-        comps = contained(spark, lambda: grown(comps, tried.where("linked").select("a", "b")))  # noqa: B023
-        failed.append(tried.where("not linked").select("a", "b"))
+        links = tried.where("linked").select("a", "b")
+        if not links.isEmpty():
+            comps = contained(spark, lambda: grown(comps, links))  # noqa: B023
+        lost = cut(lost.unionAll(one_way(tried.where("not linked"))))  # the pairs of a round are new
         active = cut(ranked.where((F.col("rank") > most) | F.col("more")).select(F.col("a").alias("node")).distinct())
         drop(spark, path)
         if active.isEmpty():
