@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -91,13 +94,19 @@ def derived_ids(lake: Lake) -> DataFrame:
 @query("""SELECT 'blobs' AS name, count(*) AS source_rows, count(*) AS target_rows, CAST(max(blob_id) + 1 AS BIGINT) AS next_id, true AS same FROM blobs
 UNION ALL SELECT 'volumes', count(*), count(*), CAST(max(volume_id) + 1 AS BIGINT), true FROM volumes""")
 def catalog_copy(lake: Lake) -> DataFrame:
-    """Tables copied from one database to another; both live in the memory of this session's JVM."""
-    source, target = (f"jdbc:derby:memory:{x}{uuid.uuid4().hex};create=true" for x in ("source", "target"))
-    for name, df in (("blobs", lake.blobs.select("blob_id", "hash", "size_raw")), ("volumes", lake.volumes)):
-        jdbc.write_table(df, source, name)
-        jdbc.write_table(df.limit(0), target, name)
-    jdbc.write_table(lake.volumes.limit(2), target, "volumes")  # what is there already goes
-    return jdbc.copy_tables(lake.spark, source, target, {"blobs": "blob_id", "volumes": "volume_id"})
+    """Tables copied from one database to another; both live in this session's JVM, on the driver's disk."""
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="catalogs-"))
+    source, target = (f"jdbc:derby:{folder}/{x};create=true" for x in ("source", "target"))
+    try:
+        for name, df in (("blobs", lake.blobs.select("blob_id", "hash", "size_raw")), ("volumes", lake.volumes)):
+            jdbc.write_table(df, source, name)
+            jdbc.write_table(df.limit(0), target, name)
+        jdbc.write_table(lake.volumes.limit(2), target, "volumes")  # what is there already goes
+        return jdbc.copy_tables(lake.spark, source, target, {"blobs": "blob_id", "volumes": "volume_id"})
+    finally:
+        for url in (source, target):
+            jdbc.shut(lake.spark, url)
+        shutil.rmtree(folder)
 
 
 MIGRATE_SQL = """, src AS (SELECT doc_id AS raw_id, doc_id + 7000000 AS legacy_id, text, CASE WHEN doc_id % 29 = 0 THEN text || 'x' ELSE text END AS now FROM documents WHERE doc_id % 4 = 2)

@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 _written: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
+def alone(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's own JVM, so that they have what it has in memory and on its disk."""
+    return bool(re.match(r"local(\[|$)", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none and is a single machine's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not alone(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "cairnlake-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,11 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """(``df`` as a table in the shared folder, its path); the table goes when the driver's JVM ends, or by drop()."""
+def written(df: DataFrame, more: Iterable[DataFrame] = ()) -> tuple[DataFrame, str]:
+    """(``df`` and then ``more`` of its kind as a table in the shared folder, its path); the table goes when the driver's JVM ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for rest in more:
+        rest.write.mode("append").parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
     _written.get().append(path)

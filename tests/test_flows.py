@@ -1,9 +1,14 @@
 """Whole chains: uploads into volumes and back, lost attempts, damaged records, jobs on a timer, JDBC ranges."""
 
 import bz2
+import os
+import subprocess
+import sys
 import time
 import uuid
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +124,43 @@ def test_jdbc_ranges(spark):
     assert jdbc.next_ids({"things": jdbc.read_table(spark, url, "things")}, {"things": "id"}).first()["next_id"] == 3
 
 
+ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+import __spark_entry__
+from cairnlake.sources import jdbc
+
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{sys.argv[1]}/shared"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+source, target = "jdbc:derby:memory:source;create=true", "jdbc:derby:memory:target;create=true"
+rows = spark.range(45_001).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("é"), "id")).alias("name"))
+jdbc.write_table(rows, source, "things")
+jdbc.write_table(rows.limit(0), source, "nothing")
+for name in ("things", "nothing"):
+    jdbc.write_table(rows.limit(3), target, name)
+found = jdbc.copy_tables(spark, source, target, {"things": "id", "nothing": "id"}).collect()
+assert sorted(map(tuple, found)) == [("nothing", 0, 0, 1, True), ("things", 45_001, 45_001, 45_001, True)], found
+copied = jdbc.read_table(spark, target, "things", "id")
+assert copied.exceptAll(rows).isEmpty() and rows.exceptAll(copied).isEmpty()
+found = __spark_entry__.queries()["catalog_copy"](spark, "/root/testdata/sf0.001").collect()
+assert {r["name"] for r in found} == {"blobs", "volumes"} and all(r["same"] and r["source_rows"] == r["target_rows"] > 0 for r in found), found
+"""
+
+
+def test_catalog_copy_on_a_cluster(tmp_path):
+    home = tmp_path / "home"  # executors keep their logs in it
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_DIRS": str(tmp_path), "PYTHONPATH": str(Path(__file__).parents[1])}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    done = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, [x for x in done.stderr.splitlines() if "Error" in x or "Exception" in x][:20]
+
+
 def test_single_pass_hash(spark):
     import hashlib
 
