@@ -25,11 +25,22 @@ def validity_days(text: Column) -> Column:
     return F.when((F.size(parts) == 2) & days.between(1, 365), days)
 
 
+def _scaled(n: Column, power: int, places: int) -> Column:
+    """``n`` / 2^``power``, which is 1 at least, with so many decimals; ties go to the even digit, as in C's printf, not up as in Java's."""
+    x = n.cast("double") / float(1 << power)
+    whole = F.floor(x)
+    rest = ((x - whole) * float(1 << 52)).cast("long") * 10**places  # exact: a double of 1 or more has at most 52 bits of fraction
+    digits, left, half = F.shiftright(rest, 52), rest.bitwiseAND(F.lit((1 << 52) - 1)), 1 << 51
+    rounded = digits + ((left > half) | ((left == half) & (digits % 2 == 1))).cast("long")
+    carried = whole + (rounded == 10**places).cast("long")
+    return F.concat(carried.cast("string"), F.lit("."), F.lpad((rounded % 10**places).cast("string"), places, "0"))
+
+
 def format_bytes(n: Column) -> Column:
     """1536 as ``1.5 KB``: one decimal, powers of 1024."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", n.cast("double") / float(1 << 10 * k)), F.lit(f" {unit}B"))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, F.concat(_scaled(n, 10 * k, 1), F.lit(f" {unit}B"))).otherwise(out)
     return out
 
 
@@ -37,7 +48,7 @@ def format_bytes_short(n: Column) -> Column:
     """1536 as ``1.5 KB``: two decimals without trailing zeros."""
     out = F.when(n == 0, "0 B").otherwise(F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        short = F.regexp_replace(F.format_string("%.2f", n.cast("double") / float(1 << 10 * k)), r"\.?0+$", "")
+        short = F.regexp_replace(_scaled(n, 10 * k, 2), r"\.?0+$", "")
         out = F.when(n >= 1 << 10 * k, F.concat(short, F.lit(f" {unit}"))).otherwise(out)
     return out
 

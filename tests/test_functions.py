@@ -47,6 +47,26 @@ def test_format_bytes(spark):
     assert [one(spark, text.format_bytes_short, n) for n in (0, 1536, 1 << 20)] == ["0 B", "1.5 KB", "1 MB"]
 
 
+def test_format_bytes_rounds_ties_to_even(spark):
+    import random
+
+    r = random.Random(7)
+    ties = [(20 * i + 5) * (1 << 10 * k) // 100 + d for k in range(1, 7) for i in range(5, 70) for d in (-1, 0, 1)]
+    ns = [1280, 1152, 1792, 1023 * 1024 + 1000, (1 << 20) - 1, (1 << 63) - 1, *range(1024, 40_000, 32), *ties, *(r.randrange(1 << 63) >> r.randrange(52) for _ in range(3000))]
+
+    def told(n, places, units):
+        k = max((k for k in range(1, len(units) + 1) if n >= 1 << 10 * k), default=0)
+        return (f"{n / (1 << 10 * k):.{places}f}" if k else str(n)), f" {units[k - 1]}" if k else " B"
+
+    def short(number, unit):
+        return (number.rstrip("0").rstrip(".") if "." in number else number) + unit
+
+    ns = [n for n in ns if 0 < n < 1 << 63]
+    n = F.col("n")
+    found = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", text.format_bytes(n), text.format_bytes_short(n)).collect()
+    assert [tuple(x) for x in found] == [(n, "".join(told(n, 1, ("KB", "MB", "GB", "TB", "PB", "EB"))), short(*told(n, 2, ("KB", "MB", "GB", "TB")))) for n in ns]
+
+
 def test_masks(spark):
     assert one(spark, text.dsn_masked, "postgres://u:p@h/db") == "postgres://****:****@h/db"
     assert one(spark, text.secret_masked, "api_key", "x") == "********"
